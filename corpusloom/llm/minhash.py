@@ -34,7 +34,8 @@ from corpusloom.llm.shingles import mix, shingle_sets, text_slices
 from corpusloom.llm.workspace import Workspace, salted_lookup
 
 WORDS, ROWS, MISS, SEED = 5, 4, 1e-7, 9
-BLOCK_QUERIES, BLOCK_MEMBERS = 128, 256
+#: A block holds about this many queries and members, or fewer where their sets would pass BLOCK_SHINGLES.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Candidate ids up to this number (16 bytes each) are broadcast to the documents; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 
@@ -93,12 +94,13 @@ def _sign(percent: int):
 
 def _bands(batches):
     for batch in batches:
-        nodes = batch.column(0).to_numpy()
+        nodes, sizes = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         if not len(nodes):
             continue
         keys = band_keys(np.stack([np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(nodes, keys.shape[1])), pa.array(keys.ravel())], ["node", "bucket"]
+            [pa.array(np.repeat(nodes, keys.shape[1])), pa.array(keys.ravel()), pa.array(np.repeat(sizes, keys.shape[1]))],
+            ["node", "bucket", "n"],
         )
 
 
@@ -237,7 +239,7 @@ def near_duplicates(
     )
     classes = ws.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    banded = ws.save(classes.select("node", "signature").mapInArrow(_bands, "node bigint, bucket bigint"), "banded")
+    banded = ws.save(classes.select("node", "signature", "n").mapInArrow(_bands, "node bigint, bucket bigint, n bigint"), "banded")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader"))
     shared = ws.save(shared.filter("members > 1").drop("members"), "shared")
     buckets = ws.save(banded.join(shared, "bucket"), "buckets")
@@ -303,16 +305,19 @@ def _compare_rest(
     buckets: DataFrame, first: DataFrame, sets: DataFrame, ws: Workspace, percent: int, least: int
 ) -> DataFrame:
     """Links among a bucket's members besides its leader that are in different components so far."""
-    others = buckets.filter("node != leader").select("bucket", "node").join(first, "node", "left")
-    others = ws.save(others.select("bucket", "node", F.coalesce("component", "node").alias("comp")), "others")
-    groups = others.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+    others = buckets.filter("node != leader").select("bucket", "node", "n").join(first, "node", "left")
+    others = ws.save(others.select("bucket", "node", "n", F.coalesce("component", "node").alias("comp")), "others")
+    groups = others.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
     active = groups.groupBy("bucket").agg(
-        F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("s"), (F.sum("k") - F.max("k")).alias("u")
+        F.max_by("comp", F.struct("k", "comp")).alias("major"),
+        F.sum("k").alias("s"),
+        (F.sum("k") - F.max("k")).alias("u"),
+        F.sum("shingles").alias("all_shingles"),
     )
-    active = ws.save(active.filter("u > 0"), "active")
-    chunks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    chunks = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col("all_shingles") * F.col(n) / F.col("s") / BLOCK_SHINGLES)).cast("int")
+    active = ws.save(active.filter("u > 0").select("bucket", "major", chunks("u").alias("nq"), chunks("s").alias("nm")), "active")
     rows = others.join(active, "bucket").select(
-        "bucket", "node", "comp", (F.col("comp") != F.col("major")).alias("query"), chunks("u", BLOCK_QUERIES).alias("nq"), chunks("s", BLOCK_MEMBERS).alias("nm")
+        "bucket", "node", "comp", (F.col("comp") != F.col("major")).alias("query"), "nq", "nm"
     )
     dealt = lambda n, salt: F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col(n)).cast("int")
     steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
