@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, minhash, packing, token_counts
+from corpusloom.llm import exact_dedup, minhash, packing, token_counts, toxicity
 from corpusloom.llm.workspace import Workspace
 
 
@@ -41,6 +41,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(_table(spark, sf_dir, "documents"), index, ws)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "op8")
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), percent=85)
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_curve_packing": op4_curve_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_minhash_components": op9_minhash_components,
 }
 

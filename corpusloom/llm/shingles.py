@@ -40,26 +40,38 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return grow(BASE), grow(inverse)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts ``data[bounds[i]:bounds[i+1]]``, and each text's word count."""
+def word_bounds(data: np.ndarray, bounds: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of non-blank bytes inside each text, and each text's number of runs."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
-    lower, space = _tables()
-    blank = space[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds[bounds <= n]] = True
-    solid = ~blank
     before = np.concatenate([[True], blank[:-1]])
     after = np.concatenate([blank[1:], [True]])
-    starts = np.flatnonzero(solid & (before | edge[:n]))
-    ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    size = 1 << max(21, int(n).bit_length())
-    up, down = _powers(size)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    counts = np.diff(np.searchsorted(starts, bounds))
-    return mix(hashes + (ends - starts).astype(np.uint64) * _STEPS[63]), counts
+    starts = np.flatnonzero(~blank & (before | edge[:n]))
+    ends = np.flatnonzero(~blank & (after | edge[1:])) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, bounds))
+
+
+class SpanHasher:
+    """Hashes of byte spans of ``data`` after A-Z are lower-cased, from one pass of prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        lower, _ = _tables()
+        up, self._down = _powers(1 << max(21, len(data).bit_length()))
+        terms = (lower[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)]
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        hashes = (self._sums[ends] - self._sums[starts]) * self._down[starts]
+        return mix(hashes + (ends - starts).astype(np.uint64) * _STEPS[63])
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts ``data[bounds[i]:bounds[i+1]]``, and each text's word count."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
+    starts, ends, counts = word_bounds(data, bounds, _tables()[1][data])
+    return SpanHasher(data)(starts, ends), counts
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
