@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, minhash, packing, token_counts, toxicity
+from corpusloom.llm import decontam, exact_dedup, minhash, packing, token_counts, toxicity, url_filter
 from corpusloom.llm.workspace import Workspace
 
 
@@ -17,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Host, path and verdict of the rules that go before the model.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = url_filter.train(url_filter.seed_labels(spark), Workspace(spark, "op1"))
+    return url_filter.judge(_table(spark, sf_dir, "pages"), weights, URL_RULES)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op3")
     cache = token_counts.CountCache(spark, f"{ws.path}/cache")
@@ -35,6 +50,10 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op7")
     index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", f"{ws.path}/index")
@@ -52,8 +71,10 @@ def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_curve_packing": op4_curve_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_components": op9_minhash_components,
