@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, minhash, packing, token_counts, toxicity, url_filter
+from corpusloom.llm import decontam, exact_dedup, minhash, packing, secrets, token_counts, toxicity, url_filter
 from corpusloom.llm.workspace import Workspace
 
 
@@ -50,6 +50,11 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Workspace(spark, "op5")
+    return secrets.digest_columns(secrets.scan_documents(_table(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_curve_packing": op4_curve_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
