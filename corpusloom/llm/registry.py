@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, minhash, packing, secrets, token_counts, toxicity, url_filter
+from corpusloom.llm import decontam, exact_dedup, minhash, packing, secrets, token_counts, toxicity, url_filter, warc_zstd
 from corpusloom.llm.workspace import Workspace
 
 
@@ -32,6 +32,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), weights, URL_RULES)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "op2")
+    folder = ws.mkdirs("archives")
+    warc_zstd.write_pages(_table(spark, sf_dir, "pages"), ws, folder)
+    read = warc_zstd.read_pages(spark, folder)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op3")
     cache = token_counts.CountCache(spark, f"{ws.path}/cache")
@@ -77,6 +85,7 @@ def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_warc_archives": op2_warc_archives,
     "op3_token_counts": op3_token_counts,
     "op4_curve_packing": op4_curve_packing,
     "op5_secret_scan": op5_secret_scan,
