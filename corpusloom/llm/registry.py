@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, exact_dedup, minhash, packing, secrets, token_counts, toxicity, url_filter, warc_zstd
+from corpusloom.llm import decontam, exact_dedup, license_scan, minhash, packing, secrets, token_counts, toxicity, url_filter, warc_zstd
 from corpusloom.llm.workspace import Workspace
 
 
@@ -83,6 +83,13 @@ def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Workspace(spark, "op9"), percent=85)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table has no paths: sources are trees of languages and of ten folders each
+    path = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 10).cast("string"), F.concat(F.lit("doc"), F.col("doc_id")))
+    files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return license_scan.resolve(license_scan.own_licences(files), Workspace(spark, "op10"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_warc_archives": op2_warc_archives,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_minhash_components": op9_minhash_components,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
