@@ -5,9 +5,9 @@ key; documents are range-sorted by it and cut, in that order, into sequences of
 document may be cut anywhere, so every sequence but the last is full; what is left at the very end is
 cut into sequences of power-of-two lengths, which need no padding either.
 
-The order is fixed by one range exchange whose tasks also number their ids from 0. Where a task's ids
-begin in the whole order follows from the tasks' totals, one number per task, so cutting needs no second
-exchange. Equal keys are ordered by id, and the exchange ranges over both, so a large group of copies is
+The order is fixed by a range exchange of keys and lengths whose tasks also number their ids from 0. Where a
+task's ids begin in the whole order follows from the tasks' totals, one number per task. The encoded documents
+are written once and moved once, to meet their places. Equal keys are ordered by id, and the exchange ranges over both, so a large group of copies is
 dealt over many tasks.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as often as they
@@ -91,19 +91,17 @@ def _encode(path: str, rank_path: str | None, end_id: int):
     return run
 
 
-def _number(width: int):
-    def run(batches):
-        part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes = np.array([len(x) // width for x in batch.column(2).to_pylist()], np.int64)
-            ends = start + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([part] * len(sizes), pa.int32()), pa.array(ends - sizes), pa.array(sizes)],
-                ["doc_id", "ids", "part", "part_start", "doc_tokens"],
-            )
-            start = int(ends[-1]) if len(ends) else start
-
-    return run
+def _number(batches):
+    """Number the ids of a task's documents from 0."""
+    part, start = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        sizes = batch.column(1).to_numpy()
+        ends = start + np.cumsum(sizes)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([part] * len(sizes), pa.int32()), pa.array(ends - sizes), batch.column(1)],
+            ["row", "part", "part_start", "doc_tokens"],
+        )
+        start = int(ends[-1]) if len(ends) else start
 
 
 def cuts(total: int, max_len: int) -> tuple[int, list[int]]:
@@ -168,16 +166,17 @@ def pack(
     coded = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
         _encode(tokenizer_path, rank_path, end_id), f"doc_id {kind}, curve_key bigint, ids binary"
     )
-    # written first, as a range exchange runs what is below it twice: once to sample the keys
-    ranged = ws.save(coded, "coded").repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
+    # written once; a range exchange would run the encoder twice, and ordering needs the keys alone
+    coded = ws.save(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    keys = coded.select("row", (F.octet_length("ids") / dtype.itemsize).cast("long").alias("n"), "curve_key", "doc_id")
+    ranged = keys.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "n", "row")
     numbered = ws.save(
-        ranged.mapInArrow(_number(dtype.itemsize), f"doc_id {kind}, ids binary, part int, part_start bigint, doc_tokens bigint"),
-        "ordered",
+        ranged.select("row", "n").mapInArrow(_number, "row bigint, part int, part_start bigint, doc_tokens bigint"), "order"
     )
-    ws.drop("coded")
     totals = numbered.groupBy("part").agg(F.max(F.col("part_start") + F.col("doc_tokens")).alias("n"))
     bases, total = {}, 0
     for row in sorted(totals.collect()):  # one number per task of the range exchange
         bases[row["part"]], total = total, total + row["n"]
-    pieces = numbered.mapInArrow(_cut(bases, total, max_len, dtype.str), PIECES.format(id=kind))
-    return pieces.withColumnRenamed("doc_id", id_col), numbered
+    placed = coded.join(numbered.hint("shuffle_hash"), "row").select("doc_id", "ids", "part", "part_start", "doc_tokens")
+    pieces = placed.mapInArrow(_cut(bases, total, max_len, dtype.str), PIECES.format(id=kind))
+    return pieces.withColumnRenamed("doc_id", id_col), placed
