@@ -163,7 +163,7 @@ def write_pages(
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     owners = ws.save(rows.groupBy("digest").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("copies")), "owners")
-    dealt = salted_lookup(rows, owners, "digest", F.col("id"), F.col("copies"), F.col("owner"))
+    dealt = salted_lookup(rows, owners, "digest", F.col("id"), F.col("copies"), F.col("owner"), together=True)
     dealt = dealt.sortWithinPartitions("digest", "id").select("id", "url", "html", "owner")
     return ws.save(dealt.mapInArrow(_write(folder, archive_bytes), MANIFEST), "manifest")
 

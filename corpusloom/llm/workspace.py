@@ -69,16 +69,18 @@ class Workspace:
 
 
 def salted_lookup(
-    many: DataFrame, one: DataFrame, key: str, spread: Column, size: Column, anchor: Column, salts: int = 16
+    many: DataFrame, one: DataFrame, key: str, spread: Column, size: Column, anchor: Column, salts: int = 16, together: bool = False
 ) -> DataFrame:
     """Inner-join ``many`` to the single row of ``one`` per ``key`` with hot keys spread over ``salts`` tasks.
 
     ``spread`` is an expression on ``many`` that deals a key's rows out. ``size`` on ``one`` says how
     many rows of ``many`` have the key: where it is 1, ``anchor`` (the value of ``spread`` for that
-    row) places the only copy; otherwise the row is copied to every salt.
+    row) places the only copy; otherwise the row is copied to every salt. ``together`` puts rows of equal key
+    and ``spread`` into one task, whichever way they are joined.
     """
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
     copies = F.when(size > 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(deal(anchor)))
     left = many.withColumn("__salt", deal(spread))
+    left = left.repartition(key, "__salt") if together else left
     right = one.withColumn("__salt", F.explode(copies))
     return left.join(right, [key, "__salt"]).drop("__salt")
