@@ -26,6 +26,16 @@ def template_qa(blocks: DataFrame, num: int = 3) -> DataFrame:
     return blocks.filter(F.col("no") <= num).select("doc_id", "no", F.col("title").alias("section_title"), question.alias("question"), answer.alias("answer"))
 
 
+def qa_prompt(blocks: DataFrame, chars: int = 12_000) -> DataFrame:
+    """``(doc_id, prompt)``: a document's sections, numbered, as the text to ask an outside model about (DS2).
+
+    The answer of such a model, where there is none, falls back to ``template_qa``.
+    """
+    part = F.struct("no", F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] ("), "title", F.lit(")\n"), "text").alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "\n\n")
+    return blocks.groupBy("doc_id").agg(F.substring(joined, 1, chars).alias("prompt"))
+
+
 def section_blocks(secs: DataFrame, limit: int = 8, chars: int = 3000) -> DataFrame:
     """Non-blank sections of two levels in order; a document stops after the top section that reaches ``limit`` (LY8)."""
     order = Window.partitionBy("doc_id").orderBy("sec_pos")

@@ -33,3 +33,13 @@ def top(gained: DataFrame, n: int = 2000) -> DataFrame:
 def addition_order(tokens: DataFrame) -> DataFrame:
     """New tokens longest first, as they are to be added (VO4, DD3)."""
     return tokens.select("token").distinct().orderBy(F.desc(F.length("token")), "token")
+
+
+def added_tokens(json: Column) -> Column:
+    """Names in a stored map of added tokens (VO6)."""
+    return F.map_keys(F.from_json(json, "map<string,int>"))
+
+
+def write_tokens(tokens: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One token per line, in alphabetical order (IO19)."""
+    tokens.select("token").distinct().orderBy("token").write.mode(mode).text(path)

@@ -716,6 +716,19 @@ def sft_messages(spark, sf):
     return datasets.sft_messages(qa, contexts).select("doc_id", "no", datasets.render_chat(F.col("messages")).alias("rendered"))
 
 
+@query(
+    f"""WITH {_SECTIONS}, solid AS (SELECT doc_id, sec_pos, title, left(text, 3000) AS text FROM secs WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0),
+    tops AS (SELECT *, last_value(CASE WHEN parent_pos IS NULL THEN sec_pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM secs),
+    counts AS (SELECT doc_id, top, count(*) FILTER (length(regexp_replace(text, '\\s', '', 'g')) > 0) AS k FROM tops GROUP BY 1, 2),
+    earlier AS (SELECT doc_id, top, coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
+    kept AS (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.sec_pos) AS no FROM solid s JOIN tops t ON s.doc_id = t.doc_id AND s.sec_pos = t.sec_pos JOIN earlier e ON e.doc_id = t.doc_id AND e.top = t.top WHERE before < 8)
+    SELECT doc_id, left(string_agg('[' || no || '] (' || title || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY no), 12000) AS prompt FROM kept GROUP BY 1"""
+)
+def qa_prompts(spark, sf):
+    """DS2's prompt, LY8."""
+    return datasets.qa_prompt(datasets.section_blocks(structure.sections(_blocks(spark, sf))))
+
+
 # --- vocabulary --------------------------------------------------------------------------------------------------
 
 _FREQ = r"""freq AS (SELECT token, count(*) AS freq FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents) WHERE token != '' GROUP BY 1)"""

@@ -17,6 +17,13 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", limit:
     return files if limit is None else files.limit(limit)
 
 
+def in_categories(found: DataFrame, wanted: list[str], column: str = "categories", limit: int | None = None) -> DataFrame:
+    """Records of a search that share a category with ``wanted``, newest first (IO3, FL9); all where none is asked for."""
+    rows = found.filter(F.arrays_overlap(column, F.array(*map(F.lit, wanted)))) if wanted else found
+    rows = rows.orderBy(F.desc("published"), "id")
+    return rows if limit is None else rows.limit(limit)
+
+
 def parse_files(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     """Spans by ``parse(content) -> (page, seq, size, text, bbox)``; a failing file gives one row with its error (IO5, IO6)."""
 

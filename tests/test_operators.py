@@ -126,3 +126,16 @@ def test_plans_limit_ranks_early_and_keep_python_out(spark):
 
     plan = queries.bm25_topk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_small_functions(spark, tmp_path):
+    from corpusloom.operators import vocab
+    from corpusloom.plans import config
+
+    found = spark.createDataFrame([("a", ["x"], 1), ("b", ["y", "z"], 2), ("c", ["z"], 3)], "id string, categories array<string>, published int")
+    assert [r["id"] for r in io.in_categories(found, ["x", "z"], limit=2).collect()] == ["c", "b"]
+    assert io.in_categories(found, []).count() == 3
+    tokens = spark.createDataFrame([('{"b": 1, "a": 2}',)], "j string").select(F.explode(vocab.added_tokens(F.col("j"))).alias("token"))
+    vocab.write_tokens(tokens, f"{tmp_path}/tokens")
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/tokens").collect()) == ["a", "b"]
+    assert config.load("a: {b: 1}", {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
