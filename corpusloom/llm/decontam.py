@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 8
-#: Kept token positions of each mask (fixed values).
+#: Kept token positions of each mask (fixed values); all keep the first and the last one.
 MASKS = ((0, 4, 5, 6, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 7))
 MIN_SHARE, WINDOW = 0.8, 30
 #: Seeds per broadcast block; a seed row takes about 32 bytes.
@@ -37,16 +37,16 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column) -> Column:
-    """Hashes of all masks at all positions: mask 0 at 0, 1, ..., then mask 1, and so on."""
+def _anchors(tokens: Column) -> Column:
+    """Hashes of the first and the last token of each window: what all masks keep, so what any hit must share."""
     last = F.size(tokens) - SPAN
-    at = F.sequence(F.lit(0), last)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + (SPAN - 1))))
+    return F.when(last >= 0, pairs)
 
-    def masked(m: int, keep: tuple[int, ...]) -> Column:
-        return F.transform(at, lambda i: F.xxhash64(F.lit(m), *(F.get(tokens, i + k) for k in keep)))
 
-    per_mask = [masked(m, keep) for m, keep in enumerate(MASKS)]
-    return F.when(last >= 0, F.concat(*per_mask))
+def _seeds(tokens: Column, at: Column) -> Column:
+    """The masks' hashes of the window at ``at``."""
+    return F.array(*(F.xxhash64(F.lit(m), *(F.get(tokens, at + k) for k in keep)) for m, keep in enumerate(MASKS)))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,12 +86,14 @@ def find(
 
 
 def _block_hits(read: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = items.select("item_id", "item", F.posexplode(_seeds(F.col("item"))).alias("k", "seed"))
-    seeds = seeds.select("seed", "item_id", "item", F.pmod(F.col("k"), F.size("item") - (SPAN - 1)).alias("item_at"))
-    probes = read.select("id", "tokens", F.posexplode(_seeds(F.col("tokens"))).alias("k", "seed"))
+    windows = items.select("item_id", "item", F.posexplode(_anchors(F.col("item"))).alias("item_at", "anchor"))
+    seeds = windows.select("item_id", "item", "item_at", F.explode(_seeds(F.col("item"), F.col("item_at"))).alias("seed"))
+    # most windows end here; the masks' hashes are computed for the others
+    probes = read.select("id", "tokens", F.posexplode(_anchors(F.col("tokens"))).alias("at", "anchor"))
+    probes = probes.join(F.broadcast(windows.select("anchor").distinct()), "anchor", "left_semi")
+    probes = probes.select("id", "tokens", "at", F.explode(_seeds(F.col("tokens"), F.col("at"))).alias("seed"))
     hits = probes.join(F.broadcast(seeds), "seed")
-    at = F.pmod(F.col("k"), F.size("tokens") - (SPAN - 1))
-    hits = hits.select("id", "tokens", "item_id", "item", "item_at", (at - F.col("item_at")).alias("diagonal"))
+    hits = hits.select("id", "tokens", "item_id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"))
     n = F.size("item")
     # 1 where the item's token and the document's on the diagonal are the same; outside the document 0
     same = F.transform(
