@@ -101,24 +101,26 @@ def _injected() -> Column:
     return F.concat(F.lit("\\textbf{"), "lang", F.lit("} {x} \\emph  "), "text", F.lit(" \u00a0Submitted to venue"))
 
 
-@query(
-    r"""WITH a AS (SELECT doc_id, '\textbf{' || lang || '} {x} \emph  ' || text || ' ' || chr(160) || 'Submitted to venue' AS t FROM documents),
+def _cleaning(prefix: str) -> str:
+    return rf"""WITH a AS (SELECT doc_id, '{prefix}' || '\textbf{{' || lang || '}} {{x}} \emph  ' || text || ' ' || chr(160) || 'Submitted to venue' AS t FROM documents),
     b AS (SELECT doc_id, replace(replace(t, chr(160), ' '), chr(8203), '') AS t FROM a),
-    c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\[a-zA-Z]+\{([^}]*)\}', '\1', 'g'), '\\[a-zA-Z]+', ' ', 'g') AS t FROM b),
-    d AS (SELECT doc_id, regexp_replace(t, '[{}]', ' ', 'g') AS t FROM c),
-    e AS (SELECT doc_id, regexp_replace(t, 'arXiv:\d{4}\.\d{4,5}\s+v\d+\s+\[[^\]]+\]\s+[\d\s:UTC]+', ' ', 'g') AS t FROM d),
+    c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\[a-zA-Z]+\{{([^}}]*)\}}', '\1', 'g'), '\\[a-zA-Z]+', ' ', 'g') AS t FROM b),
+    d AS (SELECT doc_id, regexp_replace(t, '[{{}}]', ' ', 'g') AS t FROM c),
+    e AS (SELECT doc_id, regexp_replace(t, 'arXiv:\d{{4}}\.\d{{4,5}}\s+v\d+\s+\[[^\]]+\]\s+[\d\s:UTC]+', ' ', 'g') AS t FROM d),
     f AS (SELECT doc_id, regexp_replace(t, '(?i)\bSubmitted to\b[^\n]*(\n?)\z', ' \1') AS t FROM e),
-    g AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM f)
+    g AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM f)
     SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS cleaned FROM g"""
-)
+
+
+@query(_cleaning(""))
 def clean_text(spark, sf):
     """CL1b-h on texts with injected markup."""
     return _read(spark, sf, "documents").select("doc_id", T.clean_markup(_injected()).alias("cleaned"))
 
 
-@query()
+@query(_cleaning("fi1 "))
 def clean_text_nfkc(spark, sf):
-    """CL1 with compatibility normalisation."""
+    """CL1 with compatibility normalisation: the injected ligature and wide digit are taken apart, the tables hold no other."""
     raw = F.concat(F.lit("\ufb01\uff11 "), _injected())
     return _read(spark, sf, "documents").select("doc_id", T.clean_markup(udfs.nfkc(raw)).alias("cleaned"))
 
@@ -778,14 +780,15 @@ def mock_answer(spark, sf):
     return made.select("qid", "p.answer", F.array_join("p.citations.chunk_id", ",").alias("cited"), "p.confidence")
 
 
-@query()
+@query("SELECT conv_id, turn, text AS answer, turn AS n FROM conversations")
 def extract_json(spark, sf):
-    """JS1 on payloads in noise."""
+    """JS1 on payloads in noise: what was put in comes out."""
     noisy = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.col("text").alias("answer"), F.col("turn").alias("n"))), F.lit(" done}"))
-    return _read(spark, sf, "conversations").select("conv_id", "turn", udfs.extract_json(noisy).alias("json"))
+    found = _read(spark, sf, "conversations").select("conv_id", "turn", F.from_json(udfs.extract_json(noisy), "answer string, n bigint").alias("o"))
+    return found.select("conv_id", "turn", "o.answer", "o.n")
 
 
-@query()
+@query(f"WITH {_EVAL} SELECT qid, true AS valid, false AS cut_valid, 'is_grounded' AS missing FROM queries")
 def validate_answer(spark, sf):
     """JS2, JS3: template answers are valid, and not without a key."""
     docs = _read(spark, sf, "documents")
