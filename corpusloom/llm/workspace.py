@@ -15,8 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python batches stay small because one text can be very long.
-ARROW_ROWS = "500"
+#: Rows per Python batch and per batch of the Parquet reader, where the session has Spark's own defaults: texts can be
+#: very long, and a batch is held whole.
+BATCH_ROWS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +40,9 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex[:12]}"
-        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        for key, (default, rows) in BATCH_ROWS.items():
+            if spark.conf.get(key) == default:
+                spark.conf.set(key, rows)
         atexit.register(self._delete, self.path)
 
     def _hadoop(self, path: str):
