@@ -22,21 +22,40 @@ def common_share(c: Column) -> Column:
     return F.coalesce(most, F.lit(0)) / F.greatest(F.length(c), F.lit(1))
 
 
+def majority_share(c: Column) -> Column:
+    """The most common character's share if that is above one half, else a share of one half or less (FL3).
+
+    A character that fills more than half of a text stands twice in a row somewhere or comes first, so only such
+    characters are counted.
+    """
+    def count(low: Column) -> Column:
+        doubled = F.regexp_extract_all(low, F.lit(r"(?s)(.)\1"), F.lit(1))
+        chars = F.filter(F.array_distinct(F.array_append(doubled, F.substring(low, 1, 1))), lambda x: x != "")
+        return F.array_max(F.transform(chars, lambda x: F.length(low) - F.length(F.replace(low, x, F.lit("")))))
+
+    most = T.once(F.lower(c), count)
+    return F.coalesce(most, F.lit(0)) / F.greatest(F.length(c), F.lit(1))
+
+
 def letter_share(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def quality_reason(c: Column, min_chars: int = 80, min_parts: int = 2, max_common: float = 0.5, min_letters: float = 0.15) -> Column:
     """The first rule that a text breaks, or ``ok``; later rules are not evaluated for it."""
-    text = T.strip(F.coalesce(c, F.lit("")))
-    parts = F.filter(T.sentences(text, T.SENTENCE_MARK), lambda p: F.length(T.strip(p)) > 0)
-    return (
-        F.when(F.length(text) < min_chars, "short")
-        .when(F.size(parts) < min_parts, "few_sentences")
-        .when(common_share(text) > max_common, "repetitive")
-        .when(letter_share(text) < min_letters, "few_letters")
-        .otherwise("ok")
-    )
+    share = majority_share if max_common >= 0.5 else common_share
+
+    def judge(text: Column) -> Column:
+        parts = F.filter(T.sentences(text, T.SENTENCE_MARK), lambda p: F.length(T.strip(p)) > 0)
+        return (
+            F.when(F.length(text) < min_chars, "short")
+            .when(F.size(parts) < min_parts, "few_sentences")
+            .when(share(text) > max_common, "repetitive")
+            .when(letter_share(text) < min_letters, "few_letters")
+            .otherwise("ok")
+        )
+
+    return T.once(T.strip(F.coalesce(c, F.lit(""))), judge)
 
 
 def shingle_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8) -> DataFrame:

@@ -245,7 +245,7 @@ def eval_queries(spark, sf):
 @query(f"WITH {_POSTINGS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM terms) AS n_terms, (SELECT count(*) FROM postings) AS n_postings FROM stats")
 def bm25_index_stats(spark, sf):
     """SP1."""
-    index = retrieval.build_sparse(_read(spark, sf, "documents"))
+    index = retrieval.build_sparse(_read(spark, sf, "documents"), persist=True)
     terms = index.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
     return index.stats.join(F.broadcast(terms), how="inner").select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
 
@@ -253,7 +253,7 @@ def bm25_index_stats(spark, sf):
 @query(f"WITH {_POSTINGS} SELECT term, doc_id, tf, df, round(idf, 6) AS idf FROM postings JOIN terms USING (term)")
 def bm25_postings(spark, sf):
     """SP1."""
-    index = retrieval.build_sparse(_read(spark, sf, "documents"))
+    index = retrieval.build_sparse(_read(spark, sf, "documents"), persist=True)
     return index.postings.join(index.terms, "term").select("term", "doc_id", "tf", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -261,7 +261,7 @@ def bm25_postings(spark, sf):
 def bm25_topk(spark, sf):
     """SP2, SP3, SP4."""
     docs = _read(spark, sf, "documents")
-    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs))
+    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs, persist=True))
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -298,7 +298,7 @@ def _both(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFr
     docs, emb = _read(spark, sf, "documents"), _read(spark, sf, "embeddings")
     queries = _queries(docs, emb)
     dense = retrieval.search_dense(queries.filter("embedding is not null"), _vectors(emb), 20)
-    sparse = retrieval.search_sparse(queries, retrieval.build_sparse(docs), 20)
+    sparse = retrieval.search_sparse(queries, retrieval.build_sparse(docs, persist=True), 20)
     return docs, queries, dense, sparse, retrieval.fuse(dense, sparse, 30)
 
 
@@ -311,7 +311,7 @@ def rrf_fuse(spark, sf):
 
 def _retrieve(spark, sf, method: str) -> DataFrame:
     docs, emb = _read(spark, sf, "documents"), _read(spark, sf, "embeddings")
-    found = retrieval.retrieve(_queries(docs, emb), retrieval.build_sparse(docs), _vectors(emb), docs, method)
+    found = retrieval.retrieve(_queries(docs, emb), retrieval.build_sparse(docs, persist=True), _vectors(emb), docs, method)
     return found.select("qid", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -368,7 +368,7 @@ def recall_at_k(spark, sf):
     """ME1."""
     docs = _read(spark, sf, "documents")
     queries = _queries(docs)
-    return evaluation.recall(retrieval.search_sparse(queries, retrieval.build_sparse(docs)), _gold(queries), 5)
+    return evaluation.recall(retrieval.search_sparse(queries, retrieval.build_sparse(docs, persist=True)), _gold(queries), 5)
 
 
 @query(f"WITH {_EVAL}, {_POSTINGS}, {_SPARSE} SELECT q.qid, round(max(CASE WHEN s.rank <= 10 THEN 1.0::DOUBLE / s.rank ELSE 0.0 END), 6) AS rr FROM queries q LEFT JOIN sparse s ON s.qid = q.qid AND s.doc_id = q.qid GROUP BY 1")
@@ -376,7 +376,7 @@ def mrr_at_10(spark, sf):
     """ME2."""
     docs = _read(spark, sf, "documents")
     queries = _queries(docs)
-    return evaluation.reciprocal_rank(retrieval.search_sparse(queries, retrieval.build_sparse(docs)), _gold(queries)).withColumn("rr", F.round("rr", 6))
+    return evaluation.reciprocal_rank(retrieval.search_sparse(queries, retrieval.build_sparse(docs, persist=True)), _gold(queries)).withColumn("rr", F.round("rr", 6))
 
 
 _CITED = f"""WITH {_EVAL}, {_POSTINGS}, {_SPARSE}, {_DENSE}, p AS (SELECT qid, list(doc_id ORDER BY rank) AS pred FROM dense WHERE rank <= 3 GROUP BY 1),
@@ -775,7 +775,7 @@ def sse_decode(spark, sf):
 def mock_answer(spark, sf):
     """JS4, JS5, ME4."""
     docs = _read(spark, sf, "documents")
-    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs), 5).join(docs.select("doc_id", "text"), "doc_id")
+    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs, persist=True), 5).join(docs.select("doc_id", "text"), "doc_id")
     made = answers.template_answer(found).withColumn("p", F.from_json("payload", answers.SCHEMA))
     return made.select("qid", "p.answer", F.array_join("p.citations.chunk_id", ",").alias("cited"), "p.confidence")
 
@@ -792,7 +792,7 @@ def extract_json(spark, sf):
 def validate_answer(spark, sf):
     """JS2, JS3: template answers are valid, and not without a key."""
     docs = _read(spark, sf, "documents")
-    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs), 5).join(docs.select("doc_id", "text"), "doc_id")
+    found = retrieval.search_sparse(_queries(docs), retrieval.build_sparse(docs, persist=True), 5).join(docs.select("doc_id", "text"), "doc_id")
     made = answers.template_answer(found)
     cut = F.regexp_replace("payload", '"is_grounded"', '"grounded"')
     return made.select("qid", answers.is_valid(F.col("payload")).alias("valid"), answers.is_valid(cut).alias("cut_valid"), F.array_join(answers.missing_keys(cut), ",").alias("missing"))

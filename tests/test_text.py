@@ -50,6 +50,12 @@ def test_common_share_at_half(spark):
     assert one(spark, "", quality.common_share) == 0.0
 
 
+@pytest.mark.parametrize("text", ["abab", "ababa", "aab", "xaaa", "b" * 51 + "a" * 49, "a" * 50 + "b" * 50, "AaA", "", "éé\n\n\n", "abcabc"])
+def test_majority_share_agrees_above_one_half(spark, text):
+    common, majority = one(spark, text, quality.common_share, quality.majority_share)
+    assert (common > 0.5) == (majority > 0.5) and (common == majority or common <= 0.5)
+
+
 def test_shingle_hash_of_no_tokens(spark):
     assert one(spark, "äöü", T.shingle_hash) == one(spark, None, T.shingle_hash) == "d41d8cd98f00b204e9800998ecf8427e"
 
