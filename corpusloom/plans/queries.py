@@ -359,6 +359,9 @@ _METHODS = ("dense", "sparse", "hybrid")
 def method_comparison(spark, sf):
     """ME1, ME2, ME7, ME9: the flagship; every method ranks, every ranking is scored, in one plan."""
     docs, queries, dense, sparse, fused = _both(spark, sf)
+    # a few rows per query, which the fused ranking reads again
+    dense.persist()
+    sparse.persist()
     hybrid = retrieval.rerank(fused, queries, docs, 30)
     return evaluation.compare({"dense": dense, "sparse": sparse, "hybrid": hybrid}, _gold(queries))
 
