@@ -1,19 +1,27 @@
 """Secret scan with a recursive decoding worklist (operator 5).
 
-A text is layer 0. From each layer, four decoders make a further one where they change anything: URL percent
-escapes, Unicode and hex escapes, base64 runs of readable text, and base64 runs of gzip, zlib or bzip2 data. A decoder
+A text is layer 0. From each layer, decoders make further ones where they change anything: URL percent escapes, Unicode
+and hex escapes, base64 runs, and gzip, zlib, bzip2, xz or Zstandard data in base64, percent or hex escapes. A decoder
 replaces what it unwraps in place, so keywords before an encoded value stay before it. Layers go through a
 worklist until nothing new appears; a layer whose text was seen before is not taken up again, which ends cycles.
 Every layer is scanned with the same patterns, and what is found is mapped to the code points of the text that it
-was unwrapped from: escapes map one by one, base64 runs as a whole.
+was unwrapped from: escapes map one by one, base64 runs and packed data as a whole.
+
+A base64 run is decoded at each of the four alignments, so encoded data is found behind any prefix (``a/b-<base64>``); a run may
+also go on over line breaks, as mail and key files wrap it. Decoded bytes count as text if they hold ``PLAIN`` printable
+ASCII characters in a row (all of them, where they are fewer) or are readable altogether, as UTF-8 or UTF-16; single bytes that are no
+UTF-8 become U+FFFD and hide nothing else. Packed data is unpacked member by member, also packed data in packed data.
+
+Unpacked data of any size is scanned: up to ``IN_PLACE`` characters it is a layer like any other; beyond that it goes by in
+overlapping windows of about ``WINDOW`` characters, each unwrapped and scanned in turn, whose spans map to the whole run. A
+window is extended to the end of an encoded run, so memory is bounded by the window and the longest encoded run.
 
 Patterns, all leftmost and non-overlapping per kind: ``assign`` (a keyword, a separator and a value of 12 or more
 characters), ``access`` (an access key id of 18 or more) and ``hex`` (16 or more). Matches that are too short are
 dropped, but what they cover is not matched again.
 
 Defined results: a null text counts as empty and has no spans; texts are scanned whole; repeated rows are scanned
-each; an empty table gives an empty result; other columns are ignored. To hold memory, a compressed run that unpacks
-to more than ``MAX_UNPACKED`` bytes is left as it is.
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +29,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
+import io
+import itertools
+import lzma
 import re
+import urllib.parse
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +49,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 16 << 20
+IN_PLACE, WINDOW, OVERLAP, PIECE, CONTEXT, PLAIN = 1 << 20, 1 << 20, 1 << 16, 1 << 18, 256, 16
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~+/-])+")
+_HEX_BYTES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\[nrt0'\"\\]|[\x20-\x5b\x5d-\x7e])+")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_ENCODED_END = re.compile(r"[A-Za-z0-9+/_=%\\-]{20,}\Z")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -53,7 +73,20 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _readable(data: bytes) -> str | None:
+# --- bytes
+
+
+def _wide(data: bytes) -> bool:
+    """Whether the bytes look like UTF-16 with the low byte first."""
+    return data[:2] == b"\xff\xfe" or re.search(rb"(?:[\t\n\r\x20-\x7e]\x00){%d}" % max(4, min(PLAIN, len(data) // 2)), data) is not None
+
+
+def _plain(data: bytes) -> str | None:
+    """The text that bytes hold, None where they hold none."""
+    if _wide(data):
+        return data.decode("utf-16-le", "replace")
+    if re.search(rb"[\t\n\r\x20-\x7e]{%d}" % max(1, min(PLAIN, len(data))), data):
+        return data.decode("utf-8", "replace")
     try:
         text = data.decode()
     except UnicodeDecodeError:
@@ -61,38 +94,82 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def _raw(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+def _aligned(body: str, k: int) -> bytes:
+    """The bytes of a base64 run from its ``k``-th character on, without what does not fill a byte."""
+    body = body[k:]
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        return base64.b64decode(body + "=" * (-len(body) % 4), b"+/")
     except (binascii.Error, ValueError):
-        return None
-
-
-def _unpack(data: bytes) -> bytes | None:
+        return b""
+
+
+def _member(data: bytes, at: int) -> Iterator[bytes | int]:
+    """Pieces of the packed data that begins at ``at``, then the position behind it."""
+    if data[at : at + 4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        try:
+            reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(io.BytesIO(data[at:]))
+            while piece := reader.read(PIECE):
+                yield piece
+        except zstandard.ZstdError:
+            pass
+        yield at + 4
+        return
     try:
-        if data[:3] == b"BZh":
-            unpacker = bz2.BZ2Decompressor()
-            out = unpacker.decompress(data, MAX_UNPACKED + 1)
-            return out if unpacker.eof else None
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            unpacker = zlib.decompressobj(47)
-            out = unpacker.decompress(data, MAX_UNPACKED + 1)
-            return out if unpacker.eof else None
-    except (OSError, ValueError, zlib.error):
-        return None
-    return None
-
-
-def _from_base64(run: str) -> str | None:
-    data = _raw(run)
-    return _readable(data) if data else None
-
-
-def _from_packed(run: str) -> str | None:
-    data = _raw(run)
-    out = _unpack(data) if data and data[:1] in b"\x1f\x78B" else None
-    return _readable(out) if out else None
+        if data[at] in b"\x1f\x78":
+            unpacker, rest = zlib.decompressobj(47), data[at:]
+            while not unpacker.eof:
+                piece = unpacker.decompress(rest, PIECE)
+                rest = unpacker.unconsumed_tail
+                if not piece:
+                    break
+                yield piece
+        else:
+            unpacker, rest = bz2.BZ2Decompressor() if data[at] == 0x42 else lzma.LZMADecompressor(), data[at:]
+            while not unpacker.eof and not (unpacker.needs_input and not rest):
+                piece, rest = unpacker.decompress(rest, PIECE), b""
+                if piece:
+                    yield piece
+        yield len(data) - len(unpacker.unused_data) if unpacker.eof else at + 1
+    except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError):
+        yield at + 1
+
+
+def _inflate(data: bytes, above: frozenset[bytes] = frozenset()) -> Iterator[bytes]:
+    """Pieces of all packed data in ``data``, members one after the other; packed data that unpacks to packed data is unpacked on."""
+    above, at = above | {hashlib.blake2b(data).digest()}, 0
+    while m := _MAGIC.search(data, at):
+        parts = _member(data, m.start())
+        head = next(parts)
+        inner = [head] if isinstance(head, bytes) and _MAGIC.match(head) else None
+        for part in itertools.chain([head], parts):
+            if isinstance(part, int):
+                at = part
+            elif inner is None:
+                yield part
+            elif part is not head:
+                inner.append(part)
+        if inner:
+            whole = b"".join(inner)
+            if hashlib.blake2b(whole).digest() not in above:  # else it unpacks to itself
+                yield from _inflate(whole, above)
+
+
+def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
+    first = next(pieces, b"")
+    decoder = codecs.getincrementaldecoder("utf-16-le" if _wide(first) else "utf-8")("replace")
+    for piece in itertools.chain([first], pieces):
+        if text := decoder.decode(piece):
+            yield text
+    if text := decoder.decode(b"", True):
+        yield text
+
+
+# --- runs: ``(start, end, replacement)``, where a replacement is units, a text or the pieces of a long text
+
+Units = list[tuple[int, int, str]]
 
 
 def _code(m: str) -> str | None:
@@ -101,20 +178,53 @@ def _code(m: str) -> str | None:
     return chr(value) if value < 0x110000 else None
 
 
-def _units(run: str, kind: str) -> list[tuple[int, int, str]] | None:
-    """Decoded characters of a run with the part of the run that each stands for; None if it does not decode."""
-    if kind == "url":
-        data, out, i = bytes.fromhex(run.replace("%", "")), [], 0
-        while i < len(data):
-            n = 1 if data[i] < 0x80 else 2 if data[i] >> 5 == 6 else 3 if data[i] >> 4 == 14 else 4
-            try:
-                out.append((3 * i, 3 * (i + n), data[i : i + n].decode()))
-            except UnicodeDecodeError:
-                return None
-            i += n
-        return out
-    text = {"escape": _code, "base64": _from_base64, "packed": _from_packed}[kind](run)
-    return None if text is None else [(0, len(run), c) for c in text]
+def _url_units(run: str) -> Units:
+    """Decoded characters of a run with the part of the run that each stands for; a byte that is no UTF-8 stands alone."""
+    data, out, i = bytes.fromhex(run.replace("%", "")), [], 0
+    while i < len(data):
+        n = 1 if data[i] < 0x80 else 2 if data[i] >> 5 == 6 else 3 if data[i] >> 4 == 14 else 4 if data[i] >> 3 == 30 else 0
+        try:
+            char = data[i : i + n].decode() if n else "\ufffd"
+        except UnicodeDecodeError:
+            n, char = 1, "\ufffd"
+        n = max(1, n)
+        out.append((3 * i, 3 * min(i + n, len(data)), char))
+        i += n
+    return out
+
+
+def _packed(data: bytes) -> str | Iterator[str] | None:
+    """The text of packed data in ``data``, as pieces where it is long, None without any."""
+    if not _MAGIC.search(data):
+        return None
+    pieces = _texts(_inflate(data))
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size > IN_PLACE:
+            return itertools.chain(held, pieces)
+    return "".join(held) or None
+
+
+def _replacements(text: str) -> Iterator[list[tuple[int, int, Units | str | Iterator[str]]]]:
+    """What each decoder would replace, one list per decoder that finds anything."""
+    if "%" in text:
+        yield [(m.start(), m.end(), _url_units(m[0])) for m in _URL.finditer(text)]
+        yield [(m.start(), m.end(), out) for m in _URL_BYTES.finditer(text) if "%" in m[0] and (out := _packed(urllib.parse.unquote_to_bytes(m[0]))) is not None]
+    if "\\" in text or "&#" in text:
+        yield [(m.start(), m.end(), [(0, len(m[0]), c)]) for m in _ESCAPE.finditer(text) if (c := _code(m[0])) is not None]
+    if "\\x" in text:
+        raw = lambda run: run.encode("ascii").decode("unicode_escape").encode("latin-1", "replace")
+        yield [(m.start(), m.end(), out) for m in _HEX_BYTES.finditer(text) if "\\x" in m[0] and (out := _packed(raw(m[0]))) is not None]
+    for pattern in (_BASE64, _WRAPPED):
+        if pattern is _WRAPPED and "\n" not in text:
+            continue
+        runs = [(m.start(), m.end(), re.sub(r"[\r\n\t =]+", "", m[0]).replace("-", "+").replace("_", "/")) for m in pattern.finditer(text)]
+        for k in range(4) if runs else ():
+            decoded = [(a, b, _aligned(body, k)) for a, b, body in runs]
+            yield [(a, b, out) for a, b, data in decoded if data and (out := _plain(data)) is not None]
+            yield [(a, b, out) for a, b, data in decoded if data and (out := _packed(data)) is not None]
 
 
 class Layer:
@@ -123,57 +233,92 @@ class Layer:
     def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
         self.text, self.start, self.end = text, start, end
 
-    def decode(self, kind: str, pattern: re.Pattern) -> Layer | None:
+    @classmethod
+    def original(cls, text: str) -> Layer:
+        at = np.arange(len(text), dtype=np.int64)
+        return cls(text, at, at + 1)
+
+    def replaced(self, runs: list[tuple[int, int, Units | str]]) -> Layer:
         texts, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            units = _units(m[0], kind)
-            if units is None:
-                continue
-            a, b = m.span()
-            texts += [self.text[at:a], "".join(c for *_, c in units)]
+        for a, b, made in runs:
+            units = [(0, b - a, made)] if isinstance(made, str) else made
+            texts += [self.text[at:a], *(c for *_, c in units)]
+            sizes = [len(c) for *_, c in units]
             low, high = np.array([u[0] for u in units], np.int64) + a, np.array([u[1] for u in units], np.int64) + a - 1
-            starts += [self.start[at:a], self.start[low]]
-            ends += [self.end[at:a], self.end[high]]
+            starts += [self.start[at:a], np.repeat(self.start[low], sizes)]
+            ends += [self.end[at:a], np.repeat(self.end[high], sizes)]
             at = b
-        if not texts:
-            return None
         return Layer("".join(texts) + self.text[at:], np.concatenate([*starts, self.start[at:]]), np.concatenate([*ends, self.end[at:]]))
 
 
-DECODERS = (("url", _URL), ("escape", _ESCAPE), ("base64", _BASE64), ("packed", _BASE64))
+def _windows(pieces: Iterator[str], before: str, after: str) -> Iterator[tuple[str, int, int]]:
+    """Overlapping windows of ``before + pieces + after``, each with the lengths of the context at its two ends."""
+    held, lead, pieces = before, len(before), iter(pieces)
+    squeeze = lambda text: re.sub(r"\x20{1024,}", " " * 1024, text)  # noqa: E731  (no pattern counts blanks)
+    while True:
+        piece = next(pieces, None)
+        if piece is not None:
+            cut = max(lead, len(held) - 2048)
+            held = held[:cut] + squeeze(held[cut:] + piece)
+            if len(held) < WINDOW or _ENCODED_END.search(held, max(lead, len(held) - 24)):
+                continue
+            yield held, lead, 0
+            held, lead = held[-OVERLAP:], 0
+        else:
+            yield held + after, lead, len(after)
+            return
+
+
+def _scan_long(layer: Layer, a: int, b: int, pieces: Iterator[str]) -> set[tuple[int, int, int]]:
+    """Spans of a long text that stands for ``layer.text[a:b]``."""
+    first, last, found = max(0, a - CONTEXT), min(len(layer.text), b + CONTEXT), set()
+    low, high = int(layer.start[a]), int(layer.end[b - 1])
+    for text, lead, trail in _windows(pieces, layer.text[first:a], layer.text[b:last]):
+        for start, end, kind in _spans(text):
+            stop = len(text) - trail
+            if end <= lead or start >= stop:  # the context's own
+                continue
+            begins = int(layer.start[first + start]) if start < lead else low
+            ends = int(layer.end[b + end - stop - 1]) if end > stop else high
+            found.add((begins, ends, kind))
+    return found
+
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
-def unwrap(text: str) -> list[Layer]:
-    """All layers below ``text`` (itself left out), each text once."""
-    found, seen = [], {text}
-    work: list[Layer | None] = [None]
+
+def _spans(text: str) -> set[tuple[int, int, int]]:
+    """``(start, end, kind number)`` in ``text`` and all layers below it."""
+    found, seen, work = set(scan(text)), {_digest(text)}, [Layer.original(text)] if _may_unwrap(text) else []
     while work:
         layer = work.pop()
-        here = text if layer is None else layer.text
-        for kind, pattern in DECODERS:
-            if (kind == "url" and "%" not in here) or (kind == "escape" and "\\" not in here and "&#" not in here):
+        for runs in _replacements(layer.text):
+            short = [r for r in runs if isinstance(r[2], (str, list))]
+            for a, b, pieces in runs:
+                if not isinstance(pieces, (str, list)):
+                    found |= _scan_long(layer, a, b, pieces)
+            if not short:
                 continue
-            if not any(_units(m[0], kind) is not None for m in pattern.finditer(here)):
+            child = layer.replaced(short)
+            digest = _digest(child.text)
+            if digest in seen:
                 continue
-            if layer is None:
-                at = np.arange(len(text), dtype=np.int64)
-                layer = Layer(text, at, at + 1)
-            child = layer.decode(kind, pattern)
-            if child is not None and child.text not in seen:
-                seen.add(child.text)
-                found.append(child)
-                work.append(child)
+            seen.add(digest)
+            for a, b, kind in scan(child.text):
+                found.add((int(child.start[a]), int(child.end[b - 1]), kind))
+            work.append(child)
     return found
 
 
+def _may_unwrap(text: str) -> bool:
+    return "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) is not None
+
+
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans after unwrapping, both sorted by start, then kind."""
-    base = [(a, k, b) for a, b, k in scan(text)]
-    spans = set(base)
-    for layer in unwrap(text):
-        for a, b, k in scan(layer.text):
-            spans.add((int(layer.start[a]), k, int(layer.end[b - 1])))
-    return [(a, b, k) for a, k, b in sorted(base)], [(a, b, k) for a, k, b in sorted(spans)]
+    order = lambda spans: sorted(spans, key=lambda s: (s[0], s[2], s[1]))
+    return order(scan(text)), order(_spans(text))
 
 
 def _scan_rows(batches):
