@@ -2,18 +2,22 @@
 
 Tokens are maximal runs of letters and digits, lower-cased. ``MASKS`` are fixed patterns of SPAN tokens that
 ignore some positions; each mask hashes the kept tokens at every position of an item and of a document.
-Equal hashes give a diagonal (document position minus item position), on which the tokens around the hit are
+Equal hashes give a diagonal (document position minus item position), on which all of the item's tokens are
 compared one by one. A document is contaminated by an item if at least ``MIN_SHARE`` of the item's tokens, or of
-some window of ``WINDOW`` of them that holds the hit, are the same on the diagonal. The three masks hit every
-arrangement of up to 20 % substitutions in 15 or more tokens, as a test shows by enumeration.
-
-The items' seeds are broadcast in blocks of bounded size, so documents are read once per block and never
-shuffled; only hits are, merged per task first.
-
-Defined results: null and empty texts, and documents of fewer than SPAN tokens, are clean; items of fewer than
-SPAN tokens are not searched for; repeated rows and repeated items give one row per (document id, item id);
-null ids stay null; an empty table gives an empty result; other columns are ignored by ``find`` and kept by
-``drop_contaminated``.
+some ``WINDOW`` of them in a row, are the same on the diagonal. Every arrangement of up to 20 % substitutions in 8 or more
+tokens is hit: ``SHORT_MASK`` helps where an item has 8 to 10 of them, and a test enumerates the arrangements.
+Items of MIN_TOKENS to 7 tokens must occur word for word; their mask keeps all of their tokens.
+
+What is broadcast are rows of three numbers per window of an item and mask, whatever an item's length, in blocks of about
+``BLOCK_SEEDS``; a block that one frequent window makes much larger is joined and not broadcast. Documents are read once, or, where there
+are several blocks, tokenised once and written. Hits are merged to distinct diagonals per task before they move, and only then meet
+the tokens of the documents that have any.
+
+Defined results: null and empty texts and documents shorter than an item are clean of it; items of fewer than MIN_TOKENS
+tokens are no evidence and not searched for; repeated rows and repeated items give one row per (document id, item id), with the
+best overlap of the texts of that id, then the most matches; null ids stay null; an empty table gives an empty result; other
+columns are ignored by ``find`` and kept by ``drop_contaminated``, which drops rows by id and text together: a clean row that shares
+its id, or has none, stays. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -23,10 +27,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.exact_dedup import text_digest
+from corpusloom.llm.workspace import Workspace, row_key
+
 SPAN = 8
-#: Kept token positions of each mask (fixed values); all keep the first and the last one.
+#: Kept token positions of each mask (fixed values).
 MASKS = ((0, 4, 5, 6, 7), (0, 2, 3, 6, 7), (0, 1, 2, 5, 7))
-MIN_SHARE, WINDOW = 0.8, 30
+SHORT_MASK = (0, 1, 2, 3, 5)
+SHORT_ITEMS = range(8, 11)
+MIN_SHARE, WINDOW, MIN_TOKENS = 0.8, 30, 4
 #: Seeds per broadcast block; a seed row takes about 32 bytes.
 BLOCK_SEEDS = 1_000_000
 
@@ -37,81 +46,134 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _anchors(tokens: Column) -> Column:
-    """Hashes of the first and the last token of each window: what all masks keep, so what any hit must share."""
-    last = F.size(tokens) - SPAN
-    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + (SPAN - 1))))
-    return F.when(last >= 0, pairs)
+def masks_for(sizes: set[int]) -> list[tuple[tuple[int, ...], int, int]]:
+    """``(kept positions, fewest, most item tokens)`` of the masks that items of these sizes need."""
+    out = [(mask, SPAN, 1 << 30) for mask in MASKS] if any(n >= SPAN for n in sizes) else []
+    if any(n in SHORT_ITEMS for n in sizes):
+        out.append((SHORT_MASK, SHORT_ITEMS[0], SHORT_ITEMS[-1]))
+    return out + [(tuple(range(n)), n, n) for n in sorted(sizes) if n < SPAN]
 
 
-def _seeds(tokens: Column, at: Column) -> Column:
-    """The masks' hashes of the window at ``at``."""
-    return F.array(*(F.xxhash64(F.lit(m), *(F.get(tokens, at + k) for k in keep)) for m, keep in enumerate(MASKS)))
+def _anchor(tokens: Column, at: Column, span: int) -> Column:
+    """Hash of the first and the last token of a window: what all masks of a span keep, so what any hit must share."""
+    return F.xxhash64(F.lit(span), F.get(tokens, at), F.get(tokens, at + (span - 1)))
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    items = benchmark.select(F.col(id_col).alias("item_id"), token_hashes(F.col(text_col)).alias("item"))
-    return items.filter(F.size("item") >= SPAN).distinct()
+def _seed(tokens: Column, at: Column, mask: tuple[int, ...]) -> Column:
+    return F.xxhash64(F.lit(",".join(map(str, mask))), *(F.get(tokens, at + k) for k in mask))
 
 
-def _window_share(same: Column, n: Column, at: Column) -> Column:
-    """Largest share of equal tokens in a window of WINDOW item tokens that holds position ``at``."""
-    first = F.greatest(F.lit(0), at - (WINDOW - 1))
-    last = F.least(at, n - WINDOW)
-    sums = F.transform(
-        F.sequence(first, F.greatest(first, last)),
-        lambda s: F.aggregate(F.slice(same, s + 1, WINDOW), F.lit(0), lambda a, x: a + x),
+def _items(benchmark: DataFrame, id_col: str, text_col: str, ws: Workspace) -> DataFrame:
+    items = benchmark.select(F.col(id_col).alias("item_id"), token_hashes(F.col(text_col)).alias("item"))
+    items = items.filter(F.size("item") >= MIN_TOKENS).distinct()
+    return ws.save(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
+
+
+def _item_seeds(items: DataFrame, masks: list, blocks: int) -> DataFrame:
+    """``(block, anchor, seed, item_no, item_at)``."""
+    out = None
+    for mask, low, high in masks:
+        span = mask[-1] + 1
+        at = F.explode(F.sequence(F.lit(0), F.size("item") - span)).alias("item_at")
+        rows = items.filter(F.size("item").between(low, high)).select("item_no", "item", at)
+        rows = rows.select(_anchor(F.col("item"), F.col("item_at"), span).alias("anchor"), _seed(F.col("item"), F.col("item_at"), mask).alias("seed"), "item_no", "item_at")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("block", F.pmod("anchor", F.lit(blocks)).cast("int"))
+
+
+def _block_hits(read: DataFrame, seeds: DataFrame, masks: list, broadcast: bool) -> DataFrame:
+    """``(key, item_no, diagonal)`` of one block, repeated as often as masks hit."""
+    near = F.broadcast if broadcast else (lambda df: df)
+    spans = sorted({mask[-1] + 1 for mask, *_ in masks})
+    tokens, n = F.col("tokens"), F.size("tokens")
+    # one run of positions per span; what reaches over the end has nulls and cannot be verified later
+    run = lambda span: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _anchor(tokens, i, span))
+    runs = [run(s) for s in spans]
+    probes = read.select("key", "tokens", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("pos", "anchor"))
+    # most windows end here; the masks' hashes are computed for the others
+    probes = probes.join(near(seeds.select("anchor").distinct()), "anchor", "left_semi")
+    at = F.col("pos") % n if len(spans) > 1 else F.col("pos")
+    probes = probes.withColumn("at", at.cast("int"))
+    made = [(mask, _seed(tokens, F.col("at"), mask)) for mask, *_ in masks]
+    if len(spans) > 1:
+        of = F.floor(F.col("pos") / n)
+        choice = [F.array(*(seed for mask, seed in made if mask[-1] + 1 == s)) for s in spans]
+        seed = F.coalesce(*(F.when(of == k, c) for k, c in enumerate(choice)))
+    else:
+        seed = F.array(*(seed for _, seed in made))
+    probes = probes.select("key", "at", F.explode(seed).alias("seed"))
+    hits = probes.join(near(seeds.select("seed", "item_no", "item_at")), "seed")
+    return hits.select("key", "item_no", (F.col("at") - F.col("item_at")).alias("diagonal"))
+
+
+def _judge(tokens: Column, item: Column, diagonal: Column) -> Column:
+    """``(overlap, matched)`` on a diagonal: the item's share, or where that is too low its best window's."""
+    n = F.size(item)
+    at = lambda j: diagonal + j
+    # 1 where the item's token and the document's on the diagonal are the same; outside the document 0
+    same = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda j: F.when((at(j) >= 0) & (F.get(item, j) == F.get(tokens, F.greatest(F.lit(0), at(j)))), 1).otherwise(0),
     )
-    return F.when(n > WINDOW, F.array_max(sums) / WINDOW).otherwise(F.lit(0.0))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    windows = lambda a: F.array_max(F.transform(F.sequence(F.lit(0), n - WINDOW), lambda s: total(F.slice(a, s + 1, WINDOW))))
+
+    def shares(a: Column, matched: Column) -> Column:
+        whole = matched / n
+        share = F.when((whole >= MIN_SHARE) | (n <= WINDOW), whole).otherwise(F.greatest(whole, windows(a) / WINDOW))
+        return F.struct(share.alias("overlap"), matched.alias("matched"))
+
+    # bound once: the optimiser would evaluate an inlined array again for each use
+    bound = F.transform(F.array(same), lambda a: F.transform(F.array(total(a)), lambda m: shares(a, m)))
+    return F.get(F.get(bound, 0), 0)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """``(key, id, item_id, matched, item_tokens, overlap)`` of contaminated rows by their key."""
+    items = _items(benchmark, item_col, item_text_col, ws)
+    # the benchmark's own size decides how many blocks it takes; at most eight rows
+    sizes = items.groupBy(F.least(F.size("item"), F.lit(SHORT_ITEMS[-1] + 1)).alias("n")).agg(F.sum(F.size("item")).alias("tokens")).collect()
+    masks = masks_for({r["n"] for r in sizes}) or masks_for({SPAN})
+    blocks = max(1, math.ceil(sum(r["tokens"] for r in sizes) * len(MASKS) / BLOCK_SEEDS))
+    seeds = _item_seeds(items, masks, blocks)
+    counts = {0: 0}
+    if blocks > 1:
+        seeds = ws.save(seeds, "seeds")
+        counts = {r["block"]: r["n"] for r in seeds.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), text_digest(F.col(text_col))).alias("key"))
+    read = keyed.select("key", token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min(mask[-1] + 1 for mask, *_ in masks))
+    read = ws.save(read, "tokens") if blocks > 1 else read
+    hits = None
+    for block, size in sorted(counts.items()):
+        part = _block_hits(read, seeds.filter(F.col("block") == block) if blocks > 1 else seeds, masks, size <= 2 * BLOCK_SEEDS)
+        hits = part if hits is None else hits.unionByName(part)
+    hits = ws.save(hits.distinct(), "hits")
+    per = hits.groupBy("key", "item_no").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one per token of the document
+    rows = keyed.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    rows = rows.select("key", "id", token_hashes(F.col("text")).alias("tokens"))
+    met = per.join(rows, "key").join(items, "item_no")
+    best = F.array_max(F.transform("diagonals", lambda d: _judge(F.col("tokens"), F.col("item"), d)))
+    n = F.size("item")
+    judged = met.select("key", "id", "item_id", n.alias("item_tokens"), best.alias("best"))
+    judged = judged.select("key", "id", "item_id", "best.matched", "item_tokens", "best.overlap")
+    return judged.filter(F.col("overlap") >= F.when(F.col("item_tokens") < SPAN, 1.0).otherwise(MIN_SHARE))
 
 
 def find(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """One row per contaminated document and item: id, ``item_id``, ``matched``, ``item_tokens``, ``overlap``."""
-    items = _items(benchmark, item_col, item_text_col)
-    # the benchmark's own size decides how many blocks it takes
-    tokens = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    blocks = max(1, math.ceil(tokens * len(MASKS) / BLOCK_SEEDS))
-    read = docs.select(F.col(id_col).alias("id"), token_hashes(F.col(text_col)).alias("tokens"))
-    read = read.filter(F.size("tokens") >= SPAN)
-    found = None
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block)
-        hits = _block_hits(read, own)
-        found = hits if found is None else found.unionByName(hits)
+    found = _found(docs, benchmark, ws, id_col, text_col, item_col, item_text_col)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("overlap", "matched", "item_tokens")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", "best.matched", "best.item_tokens", "best.overlap")
 
 
-def _block_hits(read: DataFrame, items: DataFrame) -> DataFrame:
-    windows = items.select("item_id", "item", F.posexplode(_anchors(F.col("item"))).alias("item_at", "anchor"))
-    seeds = windows.select("item_id", "item", "item_at", F.explode(_seeds(F.col("item"), F.col("item_at"))).alias("seed"))
-    # most windows end here; the masks' hashes are computed for the others
-    probes = read.select("id", "tokens", F.posexplode(_anchors(F.col("tokens"))).alias("at", "anchor"))
-    probes = probes.join(F.broadcast(windows.select("anchor").distinct()), "anchor", "left_semi")
-    probes = probes.select("id", "tokens", "at", F.explode(_seeds(F.col("tokens"), F.col("at"))).alias("seed"))
-    hits = probes.join(F.broadcast(seeds), "seed")
-    hits = hits.select("id", "tokens", "item_id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    n = F.size("item")
-    # 1 where the item's token and the document's on the diagonal are the same; outside the document 0
-    same = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda j: F.when(
-            (F.col("diagonal") + j >= 0) & (F.get("item", j) == F.get("tokens", F.greatest(F.lit(0), F.col("diagonal") + j))), 1
-        ).otherwise(0),
-    )
-    judged = hits.select("id", "item_id", "item_at", n.alias("item_tokens"), same.alias("same"))
-    judged = judged.withColumn("matched", F.aggregate("same", F.lit(0), lambda a, x: a + x))
-    whole = F.col("matched") / F.col("item_tokens")
-    share = F.when(whole >= MIN_SHARE, whole).otherwise(
-        F.greatest(whole, _window_share(F.col("same"), F.col("item_tokens"), F.col("item_at")))
-    )
-    return judged.select("id", "item_id", "matched", "item_tokens", share.alias("overlap")).filter(F.col("overlap") >= MIN_SHARE)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose id has no contaminated text."""
-    bad = find(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that hold no item."""
+    bad = ws.save(_found(docs, benchmark, ws, id_col, text_col, item_col, item_text_col).select("key").distinct(), "bad")
+    tagged = docs.withColumn("__key", row_key(docs[id_col], text_digest(docs[text_col])))
+    return tagged.join(bad.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)

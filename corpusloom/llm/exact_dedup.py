@@ -5,9 +5,10 @@ join that moves the batch's digests and never the index. A batch is reduced to o
 before anything is joined, hence a text that makes up a third of the input costs one row per map task.
 
 Defined results: a null text counts as empty. Of rows with equal texts the largest id stays, a null id
-being smaller than any other. Of repeated rows (same id and text) exactly one stays. A digest that the
+being smaller than any other. Of repeated rows (same id and text) exactly one stays; where their other columns differ, ``keep``
+keeps the one whose columns, as JSON, have the smallest digest. A digest that the
 index already holds keeps its earlier owner, so every new row with another id is dropped. An empty batch
-gives an empty result. Columns besides id and text pass through ``keep`` untouched.
+gives an empty result. Columns besides id and text pass through ``keep`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.workspace import Workspace, salted_lookup
-
-SALTS = 16
+from corpusloom.llm.workspace import DigestTable, Workspace, keep_rows, row_key, salted_lookup, table_buckets
 
 
 def text_digest(text: Column) -> Column:
@@ -25,45 +24,35 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-class DigestIndex:
-    """A table ``(digest, keep_id)`` bucketed and sorted by ``digest`` at ``path``.
-
-    ``buckets`` fixes the number of files per append; about one per 200 million digests is enough.
-    Opening a path that already holds an index continues it.
-    """
+class DigestIndex(DigestTable):
+    """A table ``(digest, keep_id)``; ``buckets`` fixes the number of files per append (see ``index_buckets``)."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 16, id_type: str = "bigint"):
-        self.spark, self.name, self.buckets = spark, name, buckets
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {name} (digest STRING, keep_id {id_type}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
-        )
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        super().__init__(spark, name, path, f"digest STRING, keep_id {id_type}", buckets)
 
     def append_new(self, groups: DataFrame) -> None:
         """Append the digests of ``groups(digest, keep_id)`` that the index lacks; running it twice adds nothing."""
-        fresh = groups.select("digest", "keep_id").join(
-            self.rows().select("digest").hint("merge"), "digest", "left_anti"
-        )
-        fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+        self.append(self.lacking(groups.select("digest", "keep_id")))
+
+
+def index_buckets(docs: DataFrame) -> int:
+    """Buckets for an index that is begun with ``docs``; counting a Parquet scan reads its footers only."""
+    return table_buckets(docs.count())
 
 
 def assign(
     docs: DataFrame, index: DigestIndex, ws: Workspace, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``; the index grows."""
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``; the index grows.
+
+    The result reads written tables and no longer the index, which may be closed.
+    """
     keyed = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
     rows = ws.save(keyed.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies")), "rows")
-    groups = ws.save(
-        rows.groupBy("digest").agg(F.max("id").alias("top_id"), F.sum("copies").alias("group_size")), "groups"
-    )
+    groups = ws.save(rows.groupBy("digest").agg(F.max("id").alias("top_id"), F.sum("copies").alias("group_size")), "groups")
     index.append_new(groups.withColumnRenamed("top_id", "keep_id"))
-    owners = groups.join(index.rows().hint("merge"), "digest")
-    owned = salted_lookup(
-        rows, owners, "digest", F.col("id"), F.col("group_size"), F.col("top_id"), SALTS
-    )
+    owners = ws.save(groups.select("digest", "group_size").join(index.rows().hint("merge"), "digest"), "owners")
+    owned = salted_lookup(rows, owners, "digest", F.col("id"), F.col("group_size"))
     each = owned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
         F.col("id").alias(id_col),
@@ -74,14 +63,7 @@ def assign(
     )
 
 
-def keep(docs: DataFrame, assigned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, assigned: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``assign`` keeps, with all their columns, one per kept id and text."""
-    kept = assigned.filter("kept").select(
-        F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    tagged = docs.withColumn("__digest", text_digest(F.col(text_col))).withColumn("__id", F.col(id_col))
-    # ids may be null, so they are compared as a struct that never is
-    key = F.struct(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("__id").isNull())
-    left, right = tagged.withColumn("__key", key).drop("__id"), kept.withColumn("__key", key).drop("__id")
-    joined = left.join(right, ["__key", "__digest"], "left_semi")
-    return joined.dropDuplicates(["__key", "__digest"]).drop("__key", "__digest")
+    decided = assigned.select(row_key(F.col(id_col), F.col("text_sha256")).alias("key"), "kept")
+    return keep_rows(docs, row_key(docs[id_col], text_digest(docs[text_col])), decided, ws)

@@ -121,7 +121,7 @@ def resolve(own: DataFrame, ws: Workspace, id_col: str = "doc_id") -> DataFrame:
     near = above.join(holds, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "own")).alias("near"))
     given = dirs.join(near, "dir", "left").select("dir", "files", "top_id", "near.above", F.col("near.own").alias("given"))
     given = ws.save(given, "given")
-    inherited = salted_lookup(open_files, given, "dir", F.col("id"), F.col("files"), F.col("top_id"))
+    inherited = salted_lookup(open_files, given, "dir", F.monotonically_increasing_id(), F.col("files"))
     cols = lambda df, licence, origin, directory: df.select(
         F.col("id").alias(id_col), "path", licence.alias("licence"), origin.alias("origin"), directory.alias("directory"), "cosine"
     )

@@ -269,7 +269,7 @@ def near_duplicates(
     owners = ws.save(owners, "owners")
 
     rows = signed.filter("n > 0").select("id", "n", "digest")
-    found = salted_lookup(rows, owners, "digest", F.col("id"), F.col("size"), F.col("top_id"))
+    found = salted_lookup(rows, owners, "digest", F.monotonically_increasing_id(), F.col("size"))
     found = found.select("id", "n", "component_id")
     empty = signed.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return found.unionByName(empty).select(

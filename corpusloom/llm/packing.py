@@ -177,6 +177,6 @@ def pack(
     bases, total = {}, 0
     for row in sorted(totals.collect()):  # one number per task of the range exchange
         bases[row["part"]], total = total, total + row["n"]
-    placed = coded.join(numbered.hint("shuffle_hash"), "row").select("doc_id", "ids", "part", "part_start", "doc_tokens")
+    placed = coded.join(numbered, "row").select("doc_id", "ids", "part", "part_start", "doc_tokens")
     pieces = placed.mapInArrow(_cut(bases, total, max_len, dtype.str), PIECES.format(id=kind))
     return pieces.withColumnRenamed("doc_id", id_col), placed

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, exact_dedup, license_scan, minhash, packing, secrets, token_counts, toxicity, url_filter, warc_zstd
-from corpusloom.llm.workspace import Workspace
+from corpusloom.llm.workspace import Workspace, bounded_batches, table_buckets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +42,10 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op3")
-    cache = token_counts.CountCache(spark, f"{ws.path}/cache")
     docs = _table(spark, sf_dir, "documents")
+    cache = token_counts.CountCache(spark, f"counts_{uuid.uuid4().hex[:12]}", f"{ws.path}/cache", table_buckets(docs.count()))
     counts = token_counts.count_tokens(docs, cache, ws, public_tokenizers.path("word_bpe_49k.json"))
+    cache.close()
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
@@ -59,24 +60,26 @@ def op4_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op5")
+    bounded_batches(spark)
     return secrets.digest_columns(secrets.scan_documents(_table(spark, sf_dir, "documents")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Workspace(spark, "op6"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op7")
-    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", f"{ws.path}/index")
-    return exact_dedup.assign(_table(spark, sf_dir, "documents"), index, ws)
+    docs = _table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex[:12]}", f"{ws.path}/index", exact_dedup.index_buckets(docs))
+    assigned = exact_dedup.assign(docs, index, ws)
+    index.close()
+    return assigned
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    Workspace(spark, "op8")
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), Workspace(spark, "op8")))
 
 
 def op9_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Token counts through a digest cache (operator 3).
 
-The cache is a Parquet table ``(digest, tokenizer, n_tokens)`` keyed by the content's SHA-256 and the
-SHA-256 of the vocabulary file. A batch is joined to it by digest, only distinct contents that it lacks
-are encoded, and what was encoded is appended, so a second run over the same texts encodes nothing.
+The cache has one Parquet table ``(digest, n_tokens)`` per tokenizer, bucketed and sorted by the content's SHA-256 and named
+by the SHA-256 of the vocabulary file. A batch is reduced to its distinct digests, those are joined to the cache by a
+sort-merge join that does not move the cache, only distinct contents that it lacks are encoded, and what was encoded is
+appended, so a second run over the same texts encodes nothing. Texts move once at most, copies merged before;
+where few digests are missing, only their texts move.
 
 Normalisation must not change a count, hence only null is normalised, to the empty text. Defined
 results: null and empty texts have 0 bytes and 0 tokens; equal texts are encoded once; every input row
@@ -17,36 +19,36 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import tokens
 from corpusloom.llm.exact_dedup import text_digest
-from corpusloom.llm.workspace import Workspace, salted_lookup
+from corpusloom.llm.workspace import DigestTable, Workspace, salted_lookup
 
-CACHE_SCHEMA = "digest string, tokenizer string, n_tokens bigint"
+#: Missing digests up to this number (about 100 bytes each) are broadcast to the texts; beyond it they are joined.
+BROADCAST_MISSES = 100_000
 
 
 class CountCache:
-    """Append-only Parquet cache at ``path``; opening an existing one continues it."""
+    """Token counts by content below ``path``, one bucketed table per tokenizer; an existing path is continued."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(path)
+    def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 16):
+        self.spark, self.name, self.path, self.buckets = spark, name, path, buckets
+        self.tables: dict[str, DigestTable] = {}
 
-    def rows(self, tokenizer: str) -> DataFrame:
-        rows = self.spark.read.schema(CACHE_SCHEMA).parquet(self.path).filter(F.col("tokenizer") == tokenizer)
-        # an append that was repeated after a failure may have left a digest twice
-        return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    def table(self, tokenizer: str) -> DigestTable:
+        short = tokenizer[:16]
+        if short not in self.tables:
+            self.tables[short] = DigestTable(self.spark, f"{self.name}_{short}", f"{self.path}/{short}", "digest STRING, n_tokens BIGINT", self.buckets)
+        return self.tables[short]
 
-    def append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path)
+    def close(self) -> None:
+        for table in self.tables.values():
+            table.close()
 
 
-def _encoder(path: str, version: str):
+def _encoder(path: str):
     def run(batches):
         memo = tokens.memo(path, True)
         for batch in batches:
             counts = memo.encode_all(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), pa.array([version] * len(counts)), pa.array(counts, pa.int64())],
-                ["digest", "tokenizer", "n_tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return run
 
@@ -54,16 +56,27 @@ def _encoder(path: str, version: str):
 def count_tokens(
     docs: DataFrame, cache: CountCache, ws: Workspace, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per input row: id, ``n_bytes``, ``n_tokens``; the cache gains the batch's new contents."""
-    version = tokens.version_digest(tokenizer_path)
+    """One row per input row: id, ``n_bytes``, ``n_tokens``; the cache gains the batch's new contents.
+
+    The result reads written tables and no longer the cache, which may be closed.
+    """
+    table = cache.table(tokens.version_digest(tokenizer_path))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), text_digest(text).alias("digest"))
+    rows = keyed.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("text")).cast("long").alias("n_bytes"))
+    rows = ws.save(rows, "rows")
+    sizes = ws.save(rows.groupBy("digest").agg(F.sum("copies").alias("size")), "sizes")
+    missing = ws.save(table.lacking(sizes.select("digest")), "missing")
+    few = missing.count() <= BROADCAST_MISSES
     # one text per digest; copies are merged before the exchange
-    contents = keyed.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = contents.join(cache.rows(version).select("digest"), "digest", "left_anti")
-    cache.append(misses.mapInArrow(_encoder(tokenizer_path, version), CACHE_SCHEMA))
-    rows = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("id").alias("top_id"))
-    known = ws.save(sizes.join(cache.rows(version), "digest"), "counts")
-    found = salted_lookup(rows, known, "digest", F.col("id"), F.col("copies"), F.col("top_id"))
-    return found.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    texts = keyed.select("digest", "text")
+    texts = texts.join(F.broadcast(missing), "digest", "left_semi") if few else texts
+    contents = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    contents = contents if few else contents.join(missing, "digest", "left_semi")
+    table.append(contents.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens bigint"))
+    # an append that was repeated after a failure may have left a digest twice; grouping a bucketed table moves nothing
+    known = table.rows().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = ws.save(sizes.join(known.hint("merge"), "digest"), "counts")
+    found = salted_lookup(rows, known, "digest", F.col("id"), F.col("size"))
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

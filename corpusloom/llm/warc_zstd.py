@@ -1,17 +1,19 @@
 """Dictionary-compressed WARC archives (operator 2).
 
-Pages are dealt over tasks by payload digest, a frequent payload over several tasks. Each task writes archives of
-about ``archive_bytes`` of payload: a Zstandard dictionary is trained on records spread over the archive and stored
-in a leading skippable frame (magic 0x184D2A5D), and every record follows as a frame of its own. Records with equal
-payloads are one ``response``, that of the largest page id, and ``revisit`` records that name it.
+Pages are grouped by payload digest. Of each group the page with the largest id is a ``response``; its payload is the only one
+that is moved, copies being merged per task before the exchange. The others are ``revisit`` records that name
+it; they are made from ids, URLs, digests and lengths alone, and a group's revisits are dealt over as many tasks as they
+need. Each task writes archives of about ``archive_bytes`` of payload (or ``ARCHIVE_RECORDS`` records): a Zstandard dictionary is
+trained on pieces spread evenly over all bytes of the archive's records and stored in a leading skippable frame (magic
+0x184D2A5D), and every record follows whole as a frame of its own.
 
 Archives have names that follow from the task and are moved into place when complete, so a task that runs again
 writes the same files. They are written through pyarrow's file systems and read back by Spark's binary reader.
 
 Defined results: a null html is an empty payload, equal to an empty one; of repeated rows (same id and payload)
-one is the response if the id is the largest; null ids are smaller than any other and read back as null; line
-breaks in a URL are percent-escaped in the header; an empty table gives no archives and an empty result; columns
-besides id, URL and html are ignored. A payload of any length is one record, so a task holds
+one is the response if the id is the largest, the one with the alphabetically last URL; null ids are smaller than any other and
+read back as null; line breaks in a URL are percent-escaped in the header; an empty table gives no archives and an empty result;
+columns besides id, URL and html are ignored. A payload of any length is one record, so a task holds
 ``archive_bytes`` plus its longest payload.
 """
 
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.workspace import Workspace, salted_lookup
 
-ARCHIVE_BYTES, DICT_BYTES, SAMPLE_BYTES, LEVEL = 16 << 20, 32 << 10, 2 << 20, 3
+ARCHIVE_BYTES, ARCHIVE_RECORDS, DICT_BYTES, LEVEL = 16 << 20, 50_000, 32 << 10, 3
+#: A dictionary is trained on at most SAMPLES pieces of SAMPLE_BYTES.
+SAMPLE_BYTES, SAMPLES = 4 << 10, 512
 DICT_MAGIC = 0x184D2A5D
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +50,10 @@ def record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page/{page_id}/{digest}')}>"
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, response: bool, owner) -> bytes:
-    """One WARC/1.1 record."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id, url: str | None, payload: bytes, digest: str, response: bool, owner, length: int | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit carries no payload, only its ``length``."""
+    length = len(payload) if length is None else length
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload if response else http
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
@@ -60,7 +65,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, response: bool
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {length}",
     ]
     head += [f"X-Page-Id: {page_id}"] if page_id is not None else []
     if not response:
@@ -70,13 +75,18 @@ def record(page_id, url: str | None, payload: bytes, digest: str, response: bool
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A trained dictionary, or where records are too few for training, the start of a record."""
+    """A dictionary trained on pieces spread evenly over all bytes of the records, or where they are too few, a record's start."""
     import zstandard
 
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    samples = [r[: 1 << 17] for r in records[::step]]
+    step = max(SAMPLE_BYTES, sum(map(len, records)) // SAMPLES)
+    pieces, at = [], 0
+    for r in records:  # ``at`` is the next piece's start, counted from the start of ``r``
+        while at < len(r):
+            pieces.append(r[at : at + SAMPLE_BYTES])
+            at += step
+        at -= len(r)
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
         return records[0][:DICT_BYTES]
 
@@ -125,29 +135,29 @@ def _store(folder: str, name: str, data: bytes) -> None:
     system.move(draft, f"{path}/{name}")
 
 
-def _write(folder: str, archive_bytes: int):
+def _write(folder: str, archive_bytes: int, label: str):
     def run(batches):
-        part, made, held, size, last = TaskContext.get().partitionId(), 0, [], 0, None
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
             nonlocal made, held, size
             data, dictionary = write_archive(held)
-            name = f"pages-{part:06d}-{made:05d}.warc.zst"
+            name = f"{label}-{part:06d}-{made:05d}.warc.zst"
             _store(folder, name, data)
             row = [[name], [len(held)], [size], [len(data)], [dictionary]]
             made, held, size = made + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(v, pa.int64()) for v in row[1:])], ["archive", "records", "payload_bytes", "archive_bytes", "dictionary_bytes"])
 
         for batch in batches:
-            for page_id, url, html, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, sha1, length, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode()
-                digest = payload_digest(payload)
-                # rows come sorted, so the repeated rows of an owner are neighbours
-                response = page_id == owner and last != (page_id, digest)
-                last = (page_id, digest)
-                held.append(record(page_id, url, payload, digest, response, owner))
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                response = html is not None
+                if response and payload_digest(payload) != digest:
+                    raise ValueError("a payload is not what its digest says")
+                held.append(record(page_id, url, payload, digest, response, owner, length))
                 size += len(payload)
-                if size >= archive_bytes:
+                if size >= archive_bytes or len(held) >= ARCHIVE_RECORDS:
                     yield flush()
         if held:
             yield flush()
@@ -162,10 +172,23 @@ def write_pages(
     """Write every page below ``folder``; gives the manifest, one row per archive."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    owners = ws.save(rows.groupBy("digest").agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("copies")), "owners")
-    dealt = salted_lookup(rows, owners, "digest", F.col("id"), F.col("copies"), F.col("owner"), together=True)
-    dealt = dealt.sortWithinPartitions("digest", "id").select("id", "url", "html", "owner")
-    return ws.save(dealt.mapInArrow(_write(folder, archive_bytes), MANIFEST), "manifest")
+    # one payload per digest leaves each task
+    top = F.max(F.struct("id", "url")).alias("top")
+    responses = rows.groupBy("digest").agg(top, F.first("html").alias("html"))
+    made = responses.select(F.col("top.id").alias("id"), F.col("top.url").alias("url"), "html", "digest", F.octet_length("html").cast("long").alias("length"), F.col("top.id").alias("owner"))
+    manifest = ws.save(made.mapInArrow(_write(folder, archive_bytes, "pages"), MANIFEST), "manifest-responses")
+    # revisits need no payload
+    keys = rows.groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("same"), F.first(F.octet_length("html")).cast("long").alias("length"))
+    keys = ws.save(keys, "keys")
+    owners = keys.groupBy("digest").agg(top, F.sum("same").alias("copies"))
+    owners = ws.save(owners.filter("copies > 1").select("digest", F.col("top.id").alias("owner"), F.col("top.url").alias("owner_url"), "copies"), "owners")
+    copied = salted_lookup(keys, owners, "digest", F.xxhash64("id", "url"), F.col("copies"))
+    own = F.col("id").eqNullSafe(F.col("owner")) & F.col("url").eqNullSafe(F.col("owner_url"))
+    left = F.col("same") - own.cast("long")
+    revisits = copied.filter(left > 0).withColumn("n", F.explode(F.sequence(F.lit(1), left.cast("int"))))
+    revisits = revisits.select("id", "url", F.lit(None).cast("string").alias("html"), "digest", "length", "owner")
+    again = ws.save(revisits.mapInArrow(_write(folder, archive_bytes, "revisits"), MANIFEST), "manifest-revisits")
+    return manifest.unionByName(again)
 
 
 def _read(batches):

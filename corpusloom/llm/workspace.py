@@ -34,15 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'corpusloom-shared')}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches for the session, where it has Spark's defaults."""
+    for key, (default, rows) in BATCH_ROWS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, rows)
+
+
 class Workspace:
     """A folder of Parquet tables below the shared folder, deleted when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex[:12]}"
-        for key, (default, rows) in BATCH_ROWS.items():
-            if spark.conf.get(key) == default:
-                spark.conf.set(key, rows)
+        bounded_batches(spark)
         atexit.register(self._delete, self.path)
 
     def _hadoop(self, path: str):
@@ -73,19 +78,81 @@ class Workspace:
         return f"{self.path}/{name}"
 
 
-def salted_lookup(
-    many: DataFrame, one: DataFrame, key: str, spread: Column, size: Column, anchor: Column, salts: int = 16, together: bool = False
-) -> DataFrame:
-    """Inner-join ``many`` to the single row of ``one`` per ``key`` with hot keys spread over ``salts`` tasks.
+#: Keys with more rows than this are dealt over several tasks; at most HOT_KEYS keys can have more than their fair share.
+FAIR_ROWS, HOT_KEYS = 10_000, 50_000
+
 
-    ``spread`` is an expression on ``many`` that deals a key's rows out. ``size`` on ``one`` says how
-    many rows of ``many`` have the key: where it is 1, ``anchor`` (the value of ``spread`` for that
-    row) places the only copy; otherwise the row is copied to every salt. ``together`` puts rows of equal key
-    and ``spread`` into one task, whichever way they are joined.
+def salted_lookup(many: DataFrame, one: DataFrame, key: str, spread: Column, size: Column) -> DataFrame:
+    """Inner-join ``many`` to the single row of ``one`` per ``key`` with hot keys dealt over as many tasks as they need.
+
+    ``one`` is a written table, and ``size`` on it says how many rows of ``many`` have the key. A key is hot beyond
+    ``FAIR_ROWS`` rows or a ``HOT_KEYS``-th of all rows, whichever is more, so there are at most ``HOT_KEYS`` hot keys: they
+    alone are broadcast, and only their rows of ``one`` are copied, once for each such share. ``spread`` is an
+    expression on ``many`` that deals a key's rows out.
     """
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
-    copies = F.when(size > 1, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(deal(anchor)))
-    left = many.withColumn("__salt", deal(spread))
-    left = left.repartition(key, "__salt") if together else left
-    right = one.withColumn("__salt", F.explode(copies))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+    total = one.agg(F.sum(size)).first()[0] or 0
+    fair = max(FAIR_ROWS, -(-int(total) // HOT_KEYS))
+    shares = F.when(size > fair, F.ceil(size / F.lit(fair)).cast("int")).otherwise(F.lit(1))
+    hot = one.filter(size > fair).select(key, shares.alias("__shares"))
+    if hot.isEmpty():
+        return many.join(one, key)
+    left = many.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__shares", F.lit(1))).cast("int"))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return left.drop("__shares").join(right, [key, "__salt"]).drop("__salt")
+
+
+def row_key(id_: Column, text_digest: Column) -> Column:
+    """What tells the rows of a corpus apart where ids are null or repeated: the id and the text's digest, never null."""
+    return F.concat(F.when(id_.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), id_.cast("string"))), F.lit(":"), text_digest)
+
+
+def keep_rows(docs: DataFrame, key: Column, decided: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is kept in ``decided(key, kept)``, which has one row per row of ``docs``.
+
+    Only keys that are dropped or repeated are written and joined, so a planner that finds them small moves no
+    document, and otherwise documents move once. Of rows with equal kept keys the one stays whose columns, as JSON, have the
+    smallest digest.
+    """
+    per = decided.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    special = ws.save(per.filter("not kept or rows > 1"), "special")
+    tagged = docs.withColumn("__key", key)
+    rest = tagged.join(special.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns)
+    repeated = special.filter("kept").select(F.col("key").alias("__key"))
+    if repeated.isEmpty():
+        return rest
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = tagged.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
+    return rest.unionByName(firsts.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))
+
+
+def table_buckets(rows: int) -> int:
+    """Buckets of a digest table for about this many rows in each of its appends, a power of two."""
+    return 1 << max(4, (max(1, rows) // 4_000_000).bit_length())
+
+
+class DigestTable:
+    """A Parquet table bucketed and sorted by ``digest`` at ``path``, so that looking digests up never moves the table.
+
+    The catalog entry is needed for bucketed scans only; ``close`` drops it and leaves the files. Opening a path that holds a
+    table continues it, with the number of buckets that it was made with.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, path: str, columns: str, buckets: int):
+        self.spark, self.name, self.buckets = spark, name, buckets
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+        )
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def lacking(self, found: DataFrame) -> DataFrame:
+        """The rows of ``found`` whose digest the table lacks, by sort-merge anti-join."""
+        return found.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name)
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

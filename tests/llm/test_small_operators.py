@@ -54,7 +54,7 @@ def test_exact_dedup_of_edges(spark, ws):
 
 def test_exact_dedup_keeps_whole_rows(spark, ws):
     docs = docs_of(spark)
-    kept = exact_dedup.keep(docs, exact_dedup.assign(docs, index(spark, ws), ws))
+    kept = exact_dedup.keep(docs, exact_dedup.assign(docs, index(spark, ws), ws), ws)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5, 6, 7, 8]
 
@@ -108,12 +108,12 @@ def test_rank_encoder_matches_the_library():
 def test_counts_of_edges_and_cache(spark, ws):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    cache = token_counts.CountCache(spark, f"{ws.path}/cache")
+    cache = token_counts.CountCache(spark, f"c_{ws.path[-12:]}", f"{ws.path}/cache", 4)
     for run in range(2):
         got = token_counts.count_tokens(docs_of(spark), cache, Workspace(spark, f"c{run}"), path).collect()
         want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in EDGE]
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-        assert spark.read.parquet(f"{ws.path}/cache").count() == 6  # nothing is encoded twice
+        assert spark.read.option("recursiveFileLookup", True).parquet(f"{ws.path}/cache").count() == 6  # nothing is encoded twice
     assert token_counts.count_tokens(docs_of(spark, []), cache, Workspace(spark, "c3"), path).count() == 0
 
 
@@ -215,13 +215,14 @@ def test_secret_rows(spark):
 # --- decontamination
 
 
-@pytest.mark.parametrize(("n", "changed"), [(15, 3), (20, 4)])
-def test_masks_hit_every_arrangement_of_substitutions(n, changed):
-    hits = [{i + k for k in mask} for mask in decontam.MASKS for i in range(n - decontam.SPAN + 1)]
-    assert all(any(not h & set(sub) for h in hits) for sub in itertools.combinations(range(n), changed))
+def test_masks_hit_every_arrangement_of_substitutions():
+    for n in range(8, 24):
+        masks = [mask for mask, low, high in decontam.masks_for({n}) if low <= n <= high]
+        hits = [{i + k for k in mask} for mask in masks for i in range(n - mask[-1])]
+        assert all(any(not h & set(sub) for h in hits) for sub in itertools.combinations(range(n), n // 5)), n
 
 
-def test_leaks_with_substitutions(spark):
+def test_leaks_with_substitutions(spark, ws):
     item = [f"word{i}" for i in range(20)]
     changed = ["x" if i in (3, 8, 13, 18) else w for i, w in enumerate(item)]
     half = item[:10] + [f"y{i}" for i in range(10)]
@@ -229,11 +230,11 @@ def test_leaks_with_substitutions(spark):
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "too short"), (3, None), (4, " ".join(long)), (1, " ".join(item))], "item_id long, text string")
     rows = [(10, "A " + " ".join(item).upper() + "!"), (11, "so, " + ", ".join(changed)), (12, " ".join(half)), (13, " ".join(long[20:52])), (14, " ".join(long[20:40]))]
     docs = docs_of(spark, EDGE + rows)
-    got = decontam.find(docs, bench)
+    got = decontam.find(docs, bench, ws)
     assert {(r["doc_id"], r["item_id"], r["matched"]) for r in got.collect()} == {(10, 1, 20), (11, 1, 16), (13, 4, 32)}
-    clean = decontam.drop_contaminated(docs, bench)
+    clean = decontam.drop_contaminated(docs, bench, Workspace(spark, "d"))
     assert clean.columns == docs.columns and clean.count() == len(EDGE) + 2
-    assert decontam.find(docs, bench.limit(0)).count() == 0 and decontam.find(docs.limit(0), bench).count() == 0
+    assert decontam.find(docs, bench.limit(0), Workspace(spark, "d")).count() == 0 and decontam.find(docs.limit(0), bench, Workspace(spark, "d")).count() == 0
 
 
 # --- MinHash
@@ -300,7 +301,7 @@ def test_long_chains_are_one_component(spark, ws):
 # --- toxicity
 
 
-def test_toxicity_learns_marking_words_and_grades(spark):
+def test_toxicity_learns_marking_words_and_grades(spark, ws):
     rng = np.random.default_rng(3)
     vocabulary = [f"plain{i}" for i in range(400)]
     bad = ["idiot", "moron", "scum", "trash"]
@@ -314,7 +315,7 @@ def test_toxicity_learns_marking_words_and_grades(spark):
         labels.append((i, int(toxic)))
     labels += [(0, 1), (1, None), (None, 1), (5000, 1), (3, 1)]  # repeated, null, unknown, contradicting
     docs = docs_of(spark, rows)
-    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ws)
     probe = docs_of(spark, [(1, None), (2, ""), (3, "plain1 you MORON, plain2"), (4, "idiot moron scum trash"), (5, "plain3 plain4")])
     got = {r["doc_id"]: r for r in toxicity.score(probe, model).collect()}
     assert [got[i]["toxic"] for i in range(1, 6)] == [False, False, True, True, False]
@@ -323,19 +324,19 @@ def test_toxicity_learns_marking_words_and_grades(spark):
     assert toxicity.score(probe.limit(0), model).count() == 0
 
 
-def test_one_class_rejects_nothing(spark):
+def test_one_class_rejects_nothing(spark, ws):
     docs = docs_of(spark)
-    model = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
+    model = toxicity.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"), ws)
     assert toxicity.score(docs, model).filter("toxic").count() == 0
 
 
-def test_held_out_accuracy(spark):
+def test_held_out_accuracy(spark, ws):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = toxicity.train(docs, labels.filter("doc_id % 3 != 0"))
+    model = toxicity.train(docs, labels.filter("doc_id % 3 != 0"), ws)
     held = toxicity.score(docs, model).join(labels.filter("doc_id % 3 = 0").withColumnRenamed("toxic", "label"), "doc_id").collect()
     hit = sum(r["toxic"] and r["label"] == 1 for r in held)
-    assert hit >= 0.8 * sum(r["label"] for r in held)
+    assert hit >= 0.9 * sum(r["label"] for r in held)
     assert sum(r["toxic"] and r["label"] == 0 for r in held) <= 0.02 * len(held)
 
 
