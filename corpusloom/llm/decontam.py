@@ -11,7 +11,7 @@ Items of MIN_TOKENS to 7 tokens must occur word for word; their mask keeps all o
 What is broadcast are rows of three numbers per window of an item and mask, whatever an item's length, in blocks of about
 ``BLOCK_SEEDS``; a block that one frequent window makes much larger is joined and not broadcast. Documents are read once, or, where there
 are several blocks, tokenised once and written. Hits are merged to distinct diagonals per task before they move, and only then meet
-the tokens of the documents that have any.
+the tokens of the documents that have any, which are read again by their keys; the keys are broadcast up to a number.
 
 Defined results: null and empty texts and documents shorter than an item are clean of it; items of fewer than MIN_TOKENS
 tokens are no evidence and not searched for; repeated rows and repeated items give one row per (document id, item id), with the
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.exact_dedup import text_digest
-from corpusloom.llm.workspace import Workspace, row_key
+from corpusloom.llm.workspace import Workspace, few, row_key
 
 SPAN = 8
 #: Kept token positions of each mask (fixed values).
@@ -149,7 +149,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str, te
         hits = part if hits is None else hits.unionByName(part)
     hits = ws.save(hits.distinct(), "hits")
     per = hits.groupBy("key", "item_no").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one per token of the document
-    rows = keyed.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    found = ws.save(hits.select("key").distinct(), "found")
+    rows = keyed.join(few(found), "key", "left_semi").dropDuplicates(["key"])
     rows = rows.select("key", "id", token_hashes(F.col("text")).alias("tokens"))
     met = per.join(rows, "key").join(items, "item_no")
     best = F.array_max(F.transform("diagonals", lambda d: _judge(F.col("tokens"), F.col("item"), d)))
@@ -176,4 +177,4 @@ def drop_contaminated(
     """The rows of ``docs``, all columns kept, that hold no item."""
     bad = ws.save(_found(docs, benchmark, ws, id_col, text_col, item_col, item_text_col).select("key").distinct(), "bad")
     tagged = docs.withColumn("__key", row_key(docs[id_col], text_digest(docs[text_col])))
-    return tagged.join(bad.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
+    return tagged.join(few(bad.withColumnRenamed("key", "__key")), "__key", "left_anti").select(*docs.columns)

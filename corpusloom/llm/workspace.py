@@ -101,27 +101,37 @@ def salted_lookup(many: DataFrame, one: DataFrame, key: str, spread: Column, siz
     return left.drop("__shares").join(right, [key, "__salt"]).drop("__salt")
 
 
+#: Row keys up to this number (about 100 bytes each) are broadcast; more are joined by sort-merge.
+BROADCAST_KEYS = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of row keys, to be broadcast if its number of rows is within the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def row_key(id_: Column, text_digest: Column) -> Column:
-    """What tells the rows of a corpus apart where ids are null or repeated: the id and the text's digest, never null."""
-    return F.concat(F.when(id_.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), id_.cast("string"))), F.lit(":"), text_digest)
+    """What tells the rows of a corpus apart where ids are null or repeated: 16 bytes of the digest of id and text, never null."""
+    both = F.concat(F.when(id_.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), id_.cast("string"))), F.lit(":"), text_digest)
+    return F.unhex(F.substring(F.sha2(both, 256), 1, 32))
 
 
 def keep_rows(docs: DataFrame, key: Column, decided: DataFrame, ws: Workspace) -> DataFrame:
     """The rows of ``docs`` whose ``key`` is kept in ``decided(key, kept)``, which has one row per row of ``docs``.
 
-    Only keys that are dropped or repeated are written and joined, so a planner that finds them small moves no
-    document, and otherwise documents move once. Of rows with equal kept keys the one stays whose columns, as JSON, have the
+    Only keys that are dropped or repeated are written and joined: up to ``BROADCAST_KEYS`` of them no
+    document moves, and otherwise documents move once. Of rows with equal kept keys the one stays whose columns, as JSON, have the
     smallest digest.
     """
     per = decided.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    special = ws.save(per.filter("not kept or rows > 1"), "special")
+    special = ws.save(per.filter("not kept or rows > 1").select(F.col("key").alias("__key"), "kept"), "special")
     tagged = docs.withColumn("__key", key)
-    rest = tagged.join(special.select(F.col("key").alias("__key")), "__key", "left_anti").select(*docs.columns)
-    repeated = special.filter("kept").select(F.col("key").alias("__key"))
+    rest = tagged.join(few(special.select("__key")), "__key", "left_anti").select(*docs.columns)
+    repeated = special.filter("kept").select("__key")
     if repeated.isEmpty():
         return rest
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    firsts = tagged.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
+    firsts = tagged.join(few(repeated), "__key", "left_semi").groupBy("__key").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
     return rest.unionByName(firsts.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))
 
 
