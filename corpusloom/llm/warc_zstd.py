@@ -1,9 +1,9 @@
 """Dictionary-compressed WARC archives (operator 2).
 
-Pages are grouped by payload digest. Of each group the page with the largest id is a ``response``; its payload is the only one
-that is moved, copies being merged per task before the exchange. The others are ``revisit`` records that name
-it; they are made from ids, URLs, digests and lengths alone, and a group's revisits are dealt over as many tasks as they
-need. Each task writes archives of about ``archive_bytes`` of payload (or ``ARCHIVE_RECORDS`` records): a Zstandard dictionary is
+Pages with equal payloads are found by their digests alone: of each such group the page with the largest id is a ``response`` and the
+others are ``revisit`` records that name it, made from ids, URLs, digests and lengths. The owners of the groups meet the pages
+again; up to a counted bound they are broadcast, and then pages are written by the tasks that scan them and no payload
+moves. Each task writes archives of about ``archive_bytes`` of payload (or ``ARCHIVE_RECORDS`` records): a Zstandard dictionary is
 trained on pieces spread evenly over all bytes of the archive's records and stored in a leading skippable frame (magic
 0x184D2A5D), and every record follows whole as a frame of its own.
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.workspace import Workspace, salted_lookup
+from corpusloom.llm.workspace import Workspace, few
 
 ARCHIVE_BYTES, ARCHIVE_RECORDS, DICT_BYTES, LEVEL = 16 << 20, 50_000, 32 << 10, 3
 #: A dictionary is trained on at most SAMPLES pieces of SAMPLE_BYTES.
@@ -172,23 +172,23 @@ def write_pages(
     """Write every page below ``folder``; gives the manifest, one row per archive."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    # one payload per digest leaves each task
-    top = F.max(F.struct("id", "url")).alias("top")
-    responses = rows.groupBy("digest").agg(top, F.first("html").alias("html"))
-    made = responses.select(F.col("top.id").alias("id"), F.col("top.url").alias("url"), "html", "digest", F.octet_length("html").cast("long").alias("length"), F.col("top.id").alias("owner"))
-    manifest = ws.save(made.mapInArrow(_write(folder, archive_bytes, "pages"), MANIFEST), "manifest-responses")
-    # revisits need no payload
-    keys = rows.groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("same"), F.first(F.octet_length("html")).cast("long").alias("length"))
-    keys = ws.save(keys, "keys")
-    owners = keys.groupBy("digest").agg(top, F.sum("same").alias("copies"))
-    owners = ws.save(owners.filter("copies > 1").select("digest", F.col("top.id").alias("owner"), F.col("top.url").alias("owner_url"), "copies"), "owners")
-    copied = salted_lookup(keys, owners, "digest", F.xxhash64("id", "url"), F.col("copies"))
-    own = F.col("id").eqNullSafe(F.col("owner")) & F.col("url").eqNullSafe(F.col("owner_url"))
-    left = F.col("same") - own.cast("long")
-    revisits = copied.filter(left > 0).withColumn("n", F.explode(F.sequence(F.lit(1), left.cast("int"))))
-    revisits = revisits.select("id", "url", F.lit(None).cast("string").alias("html"), "digest", "length", "owner")
-    again = ws.save(revisits.mapInArrow(_write(folder, archive_bytes, "revisits"), MANIFEST), "manifest-revisits")
-    return manifest.unionByName(again)
+    keys = rows.groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("same"))
+    owners = keys.groupBy("digest").agg(F.max(F.struct("id", "url", "same")).alias("top"), F.sum("same").alias("copies"))
+    owners = ws.save(owners.filter("copies > 1").select("digest", F.struct("top.id", "top.url").alias("top"), F.col("top.same").alias("same")), "owners")
+    met = rows.join(few(owners), "digest", "left")
+    own = F.col("top").isNull() | (F.col("id").eqNullSafe(F.col("top.id")) & F.col("url").eqNullSafe(F.col("top.url")))
+    met = met.withColumn("own", own).withColumn("repeated", F.col("own") & (F.coalesce("same", F.lit(1)) > 1))
+    length, owner = F.octet_length("html").cast("long").alias("length"), F.when(F.col("top").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("owner")
+    direct = met.filter(~F.col("repeated")).select("id", "url", F.when(F.col("own"), F.col("html")).alias("html"), "digest", length, owner)
+    manifest = ws.save(direct.mapInArrow(_write(folder, archive_bytes, "pages"), MANIFEST), "manifest-pages")
+    if owners.filter("same > 1").isEmpty():
+        return manifest
+    # rows that repeat an owner: one of them is the response, the others revisit it
+    again = met.filter("repeated").groupBy("digest", "id", "url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("same"))
+    again = again.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))))
+    again = again.select("id", "url", F.when(F.col("n") == 1, F.col("html")).alias("html"), "digest", length, F.col("id").alias("owner"))
+    repeats = ws.save(again.mapInArrow(_write(folder, archive_bytes, "repeats"), MANIFEST), "manifest-repeats")
+    return manifest.unionByName(repeats)
 
 
 def _read(batches):
