@@ -19,6 +19,7 @@ gives an empty result; labels that are null are left out.
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,25 +29,15 @@ from corpusloom.llm.workspace import Workspace
 SIZES, BUCKETS = (3, 4), 4096
 MAX_LABELS, STEPS, RATE, DECAY, MAX_RULES = 400, 60, 2.0, 1e-3, 500
 
-#: Name parts of hosts that a labelled seed table of unwanted and wanted sites is made from.
-UNWANTED = ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets", "click-bait", "xxx-cams", "loan-shark")
-WANTED = (
-    "library", "museum", "weather", "recipes", "garden", "history", "science", "school", "journal", "athletics", "theatre", "harbour",
-    "mountain", "river", "bakery", "village", "forest", "railway", "chess", "poetry", "violin", "pottery", "therapy", "thunder",
-)
-TOPS = ("example.com", "example.org", "example.net")
-LANGS = ("en", "de", "fr", "es")
+#: The small labelled table: a line per URL, 1 for unwanted sites and 0 for others.
+LABELS = Path(__file__).resolve().parent / "url_labels.tsv"
 
 
 def seed_labels(spark: SparkSession) -> DataFrame:
-    """``(url, blocked)``: every listed name under every domain and prefix, with paths as sites have them."""
-    rows = []
-    for blocked, names in ((1, UNWANTED), (0, WANTED)):
-        for i, name in enumerate(names):
-            for j, top in enumerate(TOPS):
-                for k, prefix in enumerate(("", "www.", "blog.", "m.")):
-                    rows.append((f"https://{prefix}{name}.{top}/{LANGS[(i + j + k) % 4]}/{(i * 97 + j * 31 + k * 7) % 1000}", blocked))
-    return spark.createDataFrame(rows, "url string, blocked int")
+    """``(url, blocked)`` of the labelled table, which the driver reads and passes on as a literal."""
+    rows = [line.split("\t") for line in LABELS.read_text().splitlines()]
+    literal = F.from_json(F.lit(json.dumps([{"url": url, "blocked": int(label)} for label, url in rows])), "array<struct<url:string,blocked:int>>")
+    return spark.range(1).select(F.inline(literal))
 
 
 def host_of(url: Column) -> Column:
