@@ -90,7 +90,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the table has no paths: sources are trees of languages and of ten folders each
     path = F.concat_ws("/", "source", "lang", (F.col("doc_id") % 10).cast("string"), F.concat(F.lit("doc"), F.col("doc_id")))
     files = _table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    return license_scan.resolve(license_scan.own_licences(files), Workspace(spark, "op10"))
+    ws = Workspace(spark, "op10")
+    return license_scan.resolve(license_scan.own_licences(files, ws), ws)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
