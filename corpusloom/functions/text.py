@@ -25,6 +25,7 @@ CLEANING = (
     (r"[ \t]+", " "),
     (r"\n{3,}", "\n\n"),
 )
+#: What texts are split and searched by.
 SENTENCE_END, SENTENCE_END_WIDE, SENTENCE_MARK = r"(?<=[.!?])\s+", r"(?<=[.!?。！？])\s+", r"[.!?。！？]\s"
 NUMBER, STEP, CITATION = r"\b\d+(?:\.\d+)?(?:%|x|×)?\b", r"(\d+[\.、]\s*[^\n]+)", r"\[chunk_[^\]]+\]"
 
@@ -105,6 +106,11 @@ def safe_name(c: Column) -> Column:
     return F.replace(c, F.lit("/"), F.lit("_"))
 
 
+def last_segment(c: Column) -> Column:
+    """What follows the last slash (TX16)."""
+    return F.substring_index(c, "/", -1)
+
+
 def context(chunk_id: Column, path: Column, page: Column, text: Column, none: str = "-") -> Column:
     """``[id] section: path, page: n`` and the text below it (TX15)."""
     where = F.when(F.coalesce(path, F.lit("")) == "", F.lit(none)).otherwise(path)

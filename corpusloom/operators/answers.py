@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
+
+#: The fields of an answer.
 SCHEMA = "answer string, reasoning string, citations array<struct<chunk_id:string,confidence:double>>, confidence double, is_grounded boolean"
 REQUIRED = ("answer", "reasoning", "citations", "confidence", "is_grounded")
 
@@ -30,26 +33,46 @@ def is_valid(json: Column, full: bool = True) -> Column:
     return F.coalesce(ok & (F.size(extra_keys(json)) == 0) & cited & typed, F.lit(False))
 
 
-def template_answer(hits: DataFrame) -> DataFrame:
-    """``(qid, payload)`` from ``hits(qid, doc_id, rank, score, text)``: the first text, three citations (JS4)."""
+def template_answer(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``(qid, payload)`` from ``hits(qid, doc_id, rank, score, text)``: the first text, three citations (JS4).
+
+    With ``queries(qid)`` those without a hit get an answer that says so, without citations and not grounded.
+    """
     rows = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("chunk_id"), F.round("score", 3).alias("confidence"), "text")))
     per = hits.groupBy("qid").agg(rows.alias("r"))
-    top = F.get("r", 0)
+    if queries is not None:
+        per = queries.select("qid").join(per, "qid", "left")
+    top, n = F.get("r", 0), F.coalesce(F.size("r"), F.lit(0))
+    found = F.when(top.isNotNull(), F.concat(F.lit(" passages. Best: "), F.substring(top["text"], 1, 180))).otherwise(F.lit(" passages. Nothing relevant was found."))
+    cited = F.transform(F.slice("r", 1, 3), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["confidence"].alias("confidence")))
     payload = F.struct(
-        F.concat(F.lit("Found "), F.size("r").cast("string"), F.lit(" passages. Best: "), F.substring(top["text"], 1, 180)).alias("answer"),
+        F.concat(F.lit("Found "), F.greatest(n, F.lit(0)).cast("string"), found).alias("answer"),
         F.lit("ranked passages").alias("reasoning"),
-        F.transform(F.slice("r", 1, 3), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["confidence"].alias("confidence"))).alias("citations"),
-        top["confidence"].alias("confidence"),
-        F.lit(True).alias("is_grounded"),
+        F.coalesce(cited, F.array().cast("array<struct<chunk_id:string,confidence:double>>")).alias("citations"),
+        F.coalesce(top["confidence"], F.lit(0.0)).alias("confidence"),
+        top.isNotNull().alias("is_grounded"),
     )
     return per.select("qid", F.to_json(payload).alias("payload"))
 
 
 def envelope(payload: Column) -> Column:
-    """The response object around a payload; text that is no JSON becomes an ungrounded answer (JS5)."""
-    bad = F.to_json(F.struct(payload.alias("answer"), F.lit("not valid JSON").alias("reasoning"), F.array().cast("array<string>").alias("citations"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_grounded")))
-    content = F.when(F.json_object_keys(payload).isNotNull(), payload).otherwise(bad)
-    return F.to_json(F.struct(F.lit("chat.completion").alias("object"), F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), content.alias("content")).alias("message"))).alias("choices")))
+    """The response object around a payload; text that is no JSON object becomes an ungrounded answer with a warning (JS5)."""
+    ok = F.json_object_keys(payload).isNotNull()
+    bad = F.to_json(F.struct(payload.alias("answer"), F.lit("").alias("reasoning"), F.array().cast("array<string>").alias("citations"), F.lit(0.0).alias("confidence"), F.lit(False).alias("is_grounded")))
+    message = F.struct(F.lit("assistant").alias("role"), F.when(ok, payload).otherwise(bad).alias("content"))
+    return F.to_json(
+        F.struct(
+            F.lit("chatcmpl").alias("id"), F.lit("chat.completion").alias("object"), F.array(F.struct(F.lit(0).alias("index"), message.alias("message"))).alias("choices"),
+            F.when(~ok, F.lit("the model's output is no JSON object")).alias("warning"),
+        )
+    )
+
+
+def context_of(hits: DataFrame) -> DataFrame:
+    """``(qid, context)`` from ``hits(qid, rank, chunk_id, section_path, page, text)``: a block per hit in order, a blank line between (TX15)."""
+    block = T.context(F.col("chunk_id"), F.col("section_path"), F.col("page"), F.col("text"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", block.alias("t"))))
+    return hits.groupBy("qid").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("context"))
 
 
 def encode_events(tokens: Column) -> Column:

@@ -97,21 +97,31 @@ def render(blocks: DataFrame, secs: DataFrame) -> DataFrame:
     return head.select("doc_id", text.alias("rendered"))
 
 
-def chunk(secs: DataFrame, size: int = 600, overlap: int = 80, parent_chars: int = 2400) -> DataFrame:
-    """A chunk per section that is not blank, followed by its pieces, numbered in preorder (CK1, CK2, CK5, CK6)."""
-    parent = secs.select("doc_id", F.col("sec_pos").alias("parent_pos"), F.col("title").alias("up_title"), F.length(T.strip(F.col("text"))).alias("up_len"))
-    full = secs.join(parent, ["doc_id", "parent_pos"], "left")
-    full = full.filter(F.length(T.strip(F.col("text"))) > 0).withColumn("pieces", T.pack_paragraphs(F.col("text"), size, overlap))
+def chunk(secs: DataFrame, size: int = 600, overlap: int = 80, levels: int = LEVELS) -> DataFrame:
+    """A chunk per section that is not blank, followed by its pieces, numbered in preorder (CK1, CK2, CK5, CK6).
+
+    Texts are stripped first; a section's own chunk holds its first ``4 * size`` characters. A path names all sections above, blank titles left
+    out at its end only; a parent is the nearest section above that is not blank. Each level is one equi-join of sections by document.
+    """
+    stripped = secs.withColumn("text", T.strip(F.col("text")))
+    solid = F.length("text") > 0
+    node = stripped.select("doc_id", F.col("sec_pos").alias("up"), F.col("title").alias("up_title"), F.col("parent_pos").alias("up_parent"), solid.alias("up_solid"))
+    full = stripped.filter(solid).withColumn("titles", F.array().cast("array<string>")).withColumn("up", F.col("parent_pos")).withColumn("near", F.lit(None).cast(secs.schema["sec_pos"].dataType))
+    for _ in range(levels - 1):
+        full = full.join(node, ["doc_id", "up"], "left")
+        full = full.withColumn("titles", F.when(F.col("up").isNull(), F.col("titles")).otherwise(F.concat(F.array("up_title"), F.col("titles"))))
+        full = full.withColumn("near", F.coalesce("near", F.when(F.col("up_solid"), F.col("up")))).withColumn("up", F.col("up_parent")).drop("up_title", "up_parent", "up_solid")
+    path = F.when(F.coalesce("title", F.lit("")) == "", F.array_join("titles", " > ", "")).otherwise(F.array_join(F.concat("titles", F.array("title")), " > ", ""))
+    full = full.withColumn("pieces", T.pack_paragraphs(F.col("text"), size, overlap))
     before = Window.partitionBy("doc_id").orderBy("sec_pos").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(F.size("pieces") + 1).over(before), F.lit(0)) + 1
-    path = F.concat_ws(" > ", "up_title", "title")
     full = full.withColumn("no", first).withColumn("section_path", path)
-    ids = full.select("doc_id", F.col("sec_pos").alias("parent_pos"), F.col("no").alias("up_no"))
-    full = full.join(ids, ["doc_id", "parent_pos"], "left")
+    ids = full.select("doc_id", F.col("sec_pos").alias("near"), F.col("no").alias("up_no"))
+    full = full.join(ids, ["doc_id", "near"], "left")
     name = lambda n: F.format_string("%s__%05d", F.col("doc_id").cast("string"), n)
     head = full.select(
         "doc_id", name(F.col("no")).alias("chunk_id"), F.when(F.col("up_no").isNotNull(), name(F.col("up_no"))).alias("parent_id"),
-        F.substring("text", 1, parent_chars).alias("text"), "section_path", "page", "level", F.lit(True).alias("is_section"), F.lit(None).cast("int").alias("piece"),
+        F.substring("text", 1, 4 * size).alias("text"), "section_path", "page", "level", F.lit(True).alias("is_section"), F.lit(None).cast("int").alias("piece"),
     )
     parts = full.select("*", F.posexplode("pieces").alias("piece", "part")).select(
         "doc_id", name(F.col("no") + 1 + F.col("piece")).alias("chunk_id"), name(F.col("no")).alias("parent_id"),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.quality import corpus_lines
+
 
 def token_counts(lines: DataFrame, text_col: str = "line") -> DataFrame:
     """``(token, freq)`` of words; counts are merged per task before the exchange."""
@@ -30,6 +32,18 @@ def top(gained: DataFrame, n: int = 2000) -> DataFrame:
     return gained.orderBy(F.desc("gain"), "token").limit(n)
 
 
+def select_tokens(docs: DataFrame, base: DataFrame, top_n: int = 2000, min_freq: int = 5, pieces: Callable[[Column], Column] = pieces_by_length) -> DataFrame:
+    """Cleaned lines, word counts, gains against ``base(token)`` and the best ``top_n`` (VO2, VO3)."""
+    return top(gains(token_counts(corpus_lines(docs)), base, pieces, min_freq), top_n)
+
+
+def extension(docs: DataFrame, base: DataFrame, top_n: int = 2000, min_freq: int = 5, pieces: Callable[[Column], Column] = pieces_by_length) -> DataFrame:
+    """``(position, token)``: the tokens that extend a vocabulary, in the order in which they are added (VO5). At most ``top_n`` rows are numbered."""
+    chosen = select_tokens(docs, base, top_n, min_freq, pieces)
+    order = Window.orderBy(F.desc(F.length("token")), "token")
+    return chosen.select(F.row_number().over(order).alias("position"), "token")
+
+
 def addition_order(tokens: DataFrame) -> DataFrame:
     """New tokens longest first, as they are to be added (VO4, DD3)."""
     return tokens.select("token").distinct().orderBy(F.desc(F.length("token")), "token")

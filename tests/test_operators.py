@@ -44,6 +44,105 @@ def test_sparse_search_pads_with_zeros_in_corpus_order(spark):
     assert rows[0]["score"] > 0 == rows[1]["score"]
 
 
+def test_negative_scores_stay_and_come_after_zeros(spark):
+    docs = spark.createDataFrame([(1, "common"), (2, "common"), (3, "common"), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "common")], "qid long, query string")
+    rows = retrieval.search_sparse(asked, retrieval.build_sparse(docs), 3).orderBy("rank").collect()
+    assert [r["doc_id"] for r in rows] == [4, 1, 2] and rows[0]["score"] == 0 > rows[1]["score"]
+
+
+def test_dense_blocks_give_what_one_block_gives(spark):
+    vectors = spark.range(200).select(F.col("id").alias("doc_id"), F.array(*((F.col("id") * k % 17).cast("float") for k in (3, 5, 7))).alias("embedding"))
+    asked = vectors.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "qid")
+    for metric in ("dot", "cosine"):
+        whole = retrieval.search_dense(asked, vectors, 7, metric, skip_self=True).collect()
+        assert len(whole) == 70 and sorted(whole) == sorted(retrieval.search_dense(asked, vectors, 7, metric, skip_self=True, query_block=3).collect())
+    for row in whole:
+        a, b = (next(r["embedding"] for r in vectors.filter(F.col("doc_id") == i).collect()) for i in (row["qid"], row["doc_id"]))
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        assert abs(row["score"] - (sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else 0.0)) < 1e-6
+        break
+    assert retrieval.search_dense(asked.limit(0), vectors).count() == 0 and retrieval.search_dense(asked, vectors.limit(0)).count() == 0
+
+
+def test_hits_are_restored_with_defaults(spark):
+    chunks = spark.createDataFrame([("a", 1, "t", "A > B", 3, ""), ("b", 2, None, None, None, "p")], "chunk_id string, doc_id long, text string, section_path string, page int, parent_id string")
+    hits = spark.createDataFrame([("a", 0.5), ("b", 0.4), ("gone", 0.3)], "chunk_id string, score double")
+    rows = {r["chunk_id"]: tuple(r)[2:] for r in retrieval.restore(hits, chunks).collect()}
+    assert rows == {"a": ("1", "t", "A > B", 3, None), "b": ("2", "", "", 0, "p"), "gone": ("", "", "", 0, None)}
+    vectors = spark.createDataFrame([([1.0, 2.0],)], "embedding array<double>")
+    assert (retrieval.dimension(vectors), retrieval.dimension(vectors, 384), retrieval.dimension(vectors.limit(0))) == (2, 384, 0)
+
+
+def test_settings_reach_the_configuration():
+    from corpusloom.plans import config
+
+    found = config.RetrievalConfig.of(config.load("bm25: {k1: 1.2}\nfusion: {weights: {sparse: 2}}\nreranker: {name: null}\nembedder: {dim: 8}"))
+    assert (found.k1, found.b, found.w_sparse, found.w_dense, found.rerank, found.dim) == (1.2, 0.75, 2, 1.0, False, 8)
+    assert config.RetrievalConfig.of({}) == config.RetrievalConfig()
+    assert config.EvalConfig.of({"self_rag": {"citation_threshold": 0.6}}) == config.EvalConfig(citation=0.6)
+    assert config.resolve("a/b", "/r/") == "/r/a/b" and config.resolve("/a", "/r") == "/a" and config.resolve("s3://a", "/r") == "s3://a"
+
+
+def test_spans_end_at_the_next_end_marker(spark):
+    a, e = datasets.START + datasets.ROLE, datasets.END
+    texts = [f"{a}\nx {a} y{e}", f"{a}\nopen {a} more", f"{a}{e}{a}\nz{e}", "none", "", f"{e}{a}\nk{e}tail {a}"]
+
+    def spans(text):
+        out, at = [], 0
+        while (start := text.find(a, at)) >= 0:
+            body = start + len(a)
+            body += text[body : body + 1] == "\n"
+            end = text.find(e, body)
+            if end < 0:
+                break
+            out.append((body, end))
+            at = end + len(e)
+        return out
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", datasets.assistant_spans(F.col("t")).alias("s"))
+    assert {r["i"]: [tuple(x) for x in r["s"]] for r in df.collect()} == {i: spans(t) for i, t in enumerate(texts)}
+
+
+def test_deep_sections_have_whole_paths_and_nearest_parents(spark):
+    rows = [("heading", 1, "A"), ("paragraph", 0, " a "), ("heading", 2, "B"), ("heading", 3, ""), ("paragraph", 0, "c"), ("heading", 4, "D"), ("paragraph", 0, "d")]
+    got = structure.chunk(secs(spark, rows)).filter("is_section").orderBy("chunk_id").collect()
+    assert [(r["section_path"], r["text"], r["parent_id"] and r["parent_id"][-1]) for r in got] == [("A", "a", None), ("A > B", "c", "1"), ("A > B >  > D", "d", "3")]
+
+
+def test_answers_without_hits_are_not_grounded(spark):
+    hits = spark.createDataFrame([(1, 5, 1, 0.5, "t")], "qid long, doc_id long, rank int, score double, text string")
+    rows = {r["qid"]: json.loads(r["payload"]) for r in answers.template_answer(hits, spark.createDataFrame([(1,), (2,)], "qid long")).collect()}
+    assert rows[1]["is_grounded"] and not rows[2]["is_grounded"] and rows[2]["citations"] == [] and rows[2]["confidence"] == 0.0
+    assert set(rows[1]) == set(rows[2]) == set(answers.REQUIRED)
+
+
+def test_every_summary_occurs(spark):
+    from corpusloom.plans import queries
+
+    found = {r["summary"] for r in queries.self_eval_report(spark, "/root/testdata/sf0.01").select("summary").distinct().collect()}
+    assert found == {"faithful", "partly_faithful", "unfaithful", "no_claims", "irrelevant"}
+
+
+def test_failed_documents_cost_only_themselves(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, None, "broken"), (3, "b", None)], "doc_id long, text string, error string")
+    rows, errors = datasets.per_document(docs, lambda d: d.select("doc_id"), failed=F.col("error"))
+    assert [r[0] for r in rows.orderBy("doc_id").collect()] == [1, 3] and [tuple(r) for r in errors.collect()] == [(2, "broken")]
+    assert [r[0] for r in datasets.per_document(docs, lambda d: d.select("doc_id"), limit=1)[0].collect()] == [1]
+
+
+def test_entry_without_what_the_operators_need(tmp_path):
+    """Where a package of theirs is missing, the operators' queries are, and all others stay."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "public_tokenizers.py").write_text("raise ModuleNotFoundError('blocked', name='public_tokenizers')")
+    path = os.pathsep.join([str(tmp_path), os.environ["PYTHONPATH"]])
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], env={**os.environ, "PYTHONPATH": path}, cwd=path.split(os.pathsep)[1], check=True)
+
+
 def test_sparse_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
     index = retrieval.build_sparse(docs)
