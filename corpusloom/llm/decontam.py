@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.exact_dedup import text_digest
-from corpusloom.llm.workspace import Workspace, few, row_key
+from corpusloom.llm.workspace import Workspace, few, free_name, row_key
 
 SPAN = 8
 #: Kept token positions of each mask (fixed values).
@@ -176,5 +176,6 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns kept, that hold no item."""
     bad = ws.save(_found(docs, benchmark, ws, id_col, text_col, item_col, item_text_col).select("key").distinct(), "bad")
-    tagged = docs.withColumn("__key", row_key(docs[id_col], text_digest(docs[text_col])))
-    return tagged.join(few(bad.withColumnRenamed("key", "__key")), "__key", "left_anti").select(*docs.columns)
+    name = free_name(docs)
+    tagged = docs.withColumn(name, row_key(docs[id_col], text_digest(docs[text_col])))
+    return tagged.join(few(bad.withColumnRenamed("key", name)), name, "left_anti").drop(name)

@@ -32,6 +32,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), weights, URL_RULES)
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 1: hosts, paths and the rules' part of the verdict."""
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), [0.0] * (url_filter.BUCKETS + 1), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "op2")
     folder = ws.mkdirs("archives")
@@ -96,6 +102,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "url_rules": url_rules,
     "op2_warc_archives": op2_warc_archives,
     "op3_token_counts": op3_token_counts,
     "op4_curve_packing": op4_curve_packing,
@@ -107,7 +114,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
+#: Base32 of 40 hex digits: each five of them are four characters.
+_BASE32 = (
+    "array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda k:"
+    " substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, i * 5 + 1, 5))::INT >> k) & 31)::INT + 1, 1)))), '')"
+)
+_RULE_CASE = lambda column: "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if column == 'rule' else v}'"
+    for h, p, v in sorted(URL_RULES, key=lambda r: (-len(r[0] + r[1]), r))
+) + " END"
+
 ORACLES: dict[str, str] = {
+    "url_rules": f"""
+        WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
+        SELECT page_id, host, path, {_RULE_CASE('rule')} AS rule, {_RULE_CASE('ruled')} AS ruled FROM parts""",
+    "op2_warc_archives": f"""
+        WITH k AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+        o AS (SELECT *, max(page_id) OVER (PARTITION BY t) AS owner FROM k)
+        SELECT page_id, octet_length(encode(t)) AS payload_bytes, {_BASE32} AS payload_digest,
+            CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to FROM o""",
     "op7_exact_dedup": """
         WITH k AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -76,15 +76,18 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 # --- bytes
 
 
-def _wide(data: bytes) -> bool:
-    """Whether the bytes look like UTF-16 with the low byte first."""
-    return data[:2] == b"\xff\xfe" or re.search(rb"(?:[\t\n\r\x20-\x7e]\x00){%d}" % max(4, min(PLAIN, len(data) // 2)), data) is not None
+def _wide(data: bytes) -> int | None:
+    """Where UTF-16 with the low byte first may begin in ``data`` (0 or 1), None if nothing looks like it."""
+    if data[:2] == b"\xff\xfe":
+        return 0
+    found = re.search(rb"(?:[\t\n\r\x20-\x7e]\x00){%d}" % max(4, min(PLAIN, len(data) // 2)), data)
+    return None if found is None else found.start() % 2
 
 
 def _plain(data: bytes) -> str | None:
     """The text that bytes hold, None where they hold none."""
-    if _wide(data):
-        return data.decode("utf-16-le", "replace")
+    if (wide := _wide(data)) is not None:
+        return data[wide:].decode("utf-16-le", "replace")
     if re.search(rb"[\t\n\r\x20-\x7e]{%d}" % max(1, min(PLAIN, len(data))), data):
         return data.decode("utf-8", "replace")
     try:
@@ -159,8 +162,9 @@ def _inflate(data: bytes, above: frozenset[bytes] = frozenset()) -> Iterator[byt
 
 def _texts(pieces: Iterator[bytes]) -> Iterator[str]:
     first = next(pieces, b"")
-    decoder = codecs.getincrementaldecoder("utf-16-le" if _wide(first) else "utf-8")("replace")
-    for piece in itertools.chain([first], pieces):
+    wide = _wide(first)
+    decoder = codecs.getincrementaldecoder("utf-8" if wide is None else "utf-16-le")("replace")
+    for piece in itertools.chain([first[wide or 0 :]], pieces):
         if text := decoder.decode(piece):
             yield text
     if text := decoder.decode(b"", True):

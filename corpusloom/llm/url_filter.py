@@ -8,8 +8,8 @@ update is a product with their Gram matrix, all of it in array functions on one
 number, are then a literal of the scoring plan: one scan, no exchange.
 
 A rule (host, path, verdict) fits its host and all subdomains where the URL's path starts with the rule's; the
-longest rule wins, the alphabetically first of equal length. Rules are a driver-side list of at most
-``MAX_RULES``.
+longest rule wins, the alphabetically first of equal length. Rules are a driver-side list: up to ``MAX_RULES`` of them are a
+part of the scan, more meet the distinct hosts in a join.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule and has no n-grams, so the
 method allows it; repeated rows are judged each; input columns besides id and URL are ignored; an empty table
@@ -90,8 +90,6 @@ def train(labels: DataFrame, ws: Workspace, max_labels: int = MAX_LABELS) -> lis
 
 def _rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The winning rule's text and verdict, or nulls."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     text = verdict = None
     for rule_host, rule_path, rule_verdict in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r)):
         fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
@@ -101,6 +99,20 @@ def _rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return (none, none) if text is None else (text, verdict)
 
 
+def _with_many_rules(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``parts`` with the winning rule's text and verdict by joins: rules meet the distinct hosts' domains, and hosts their pages."""
+    literal = F.from_json(F.lit(json.dumps([{"h": h, "p": p, "v": v} for h, p, v in rules])), "array<struct<h:string,p:string,v:string>>")
+    table = parts.sparkSession.range(1).select(F.inline(literal))
+    labels = F.split("host", "[.]")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    own = parts.select("host").distinct().select("host", F.explode(domains).alias("h")).join(table, "h")
+    entry = F.struct((-F.length(F.concat("h", "p"))).alias("n"), "h", "p", "v")
+    own = own.groupBy("host").agg(F.collect_set(entry).alias("fit"))  # at most the rules of one host's domains
+    met = parts.join(own, "host", "left")
+    best = F.array_min(F.filter("fit", lambda r: F.col("path").startswith(r["p"])))
+    return met.withColumn("best", best).select(*parts.columns, F.concat("best.h", "best.p").alias("rule"), F.col("best.v").alias("ruled"))
+
+
 def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, ``host``, ``path``, ``rule``, ``verdict``, ``p_block``."""
     parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -108,6 +120,10 @@ def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, st
     grams = _grams(F.col("host"), F.col("path"))
     z = F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(table, g)) + F.lit(weights[-1])
     scored = parts.withColumn("p_block", F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z))))
-    text, verdict = _rule(F.col("host"), F.col("path"), rules)
+    if len(rules) > MAX_RULES:
+        ruled = _with_many_rules(scored, rules)
+    else:
+        text, verdict = _rule(F.col("host"), F.col("path"), rules)
+        ruled = scored.withColumns({"rule": text, "ruled": verdict})
     method = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
-    return scored.select(id_col, "host", "path", text.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "p_block")
+    return ruled.select(id_col, "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "p_block")

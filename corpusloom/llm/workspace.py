@@ -123,16 +123,29 @@ def keep_rows(docs: DataFrame, key: Column, decided: DataFrame, ws: Workspace) -
     document moves, and otherwise documents move once. Of rows with equal kept keys the one stays whose columns, as JSON, have the
     smallest digest.
     """
+    name = free_name(docs)
     per = decided.groupBy("key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    special = ws.save(per.filter("not kept or rows > 1").select(F.col("key").alias("__key"), "kept"), "special")
-    tagged = docs.withColumn("__key", key)
-    rest = tagged.join(few(special.select("__key")), "__key", "left_anti").select(*docs.columns)
-    repeated = special.filter("kept").select("__key")
+    special = ws.save(per.filter("not kept or rows > 1").select(F.col("key").alias(name), "kept"), "special")
+    tagged = docs.withColumn(name, key)
+    rest = tagged.join(few(special.select(name)), name, "left_anti").drop(name)
+    repeated = special.filter("kept").select(name)
     if repeated.isEmpty():
         return rest
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    firsts = tagged.join(few(repeated), "__key", "left_semi").groupBy("__key").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
-    return rest.unionByName(firsts.select(*(F.col("__row")[c].alias(c) for c in docs.columns)))
+    whole = F.struct(*columns_of(docs))
+    firsts = tagged.join(few(repeated), name, "left_semi").groupBy(name).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("__row"))
+    return rest.unionByName(firsts.select("__row.*"))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name = "__key"
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def table_buckets(rows: int) -> int:
