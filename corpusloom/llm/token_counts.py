@@ -3,8 +3,8 @@
 The cache has one Parquet table ``(digest, n_tokens)`` per tokenizer, bucketed and sorted by the content's SHA-256 and named
 by the SHA-256 of the vocabulary file. A batch is reduced to its distinct digests, those are joined to the cache by a
 sort-merge join that does not move the cache, only distinct contents that it lacks are encoded, and what was encoded is
-appended, so a second run over the same texts encodes nothing. Texts move once at most, copies merged before;
-where few digests are missing, only their texts move.
+appended, so a second run over the same texts encodes nothing. Where a counted number of digests is copied or known already, contents that
+occur once are encoded by the tasks that read them, and only copied ones move; else texts move once, copies merged before.
 
 Normalisation must not change a count, hence only null is normalised, to the empty text. Defined
 results: null and empty texts have 0 bytes and 0 tokens; equal texts are encoded once; every input row
@@ -21,8 +21,8 @@ from corpusloom.llm import tokens
 from corpusloom.llm.exact_dedup import text_digest
 from corpusloom.llm.workspace import DigestTable, Workspace, salted_lookup
 
-#: Missing digests up to this number (about 100 bytes each) are broadcast to the texts; beyond it they are joined.
-BROADCAST_MISSES = 100_000
+#: Digests up to this number (about 150 bytes each) are broadcast to the texts; more are joined.
+BROADCAST_KEYS = 500_000
 
 
 class CountCache:
@@ -66,14 +66,21 @@ def count_tokens(
     rows = keyed.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("text")).cast("long").alias("n_bytes"))
     rows = ws.save(rows, "rows")
     sizes = ws.save(rows.groupBy("digest").agg(F.sum("copies").alias("size")), "sizes")
-    missing = ws.save(table.lacking(sizes.select("digest")), "missing")
-    few = missing.count() <= BROADCAST_MISSES
-    # one text per digest; copies are merged before the exchange
+    missing = ws.save(table.lacking(sizes.select("digest")).withColumn("missing", F.lit(True)), "missing")
+    special = ws.save(sizes.join(missing, "digest", "left").filter("missing is null or size > 1").select("digest", "missing"), "special")
     texts = keyed.select("digest", "text")
-    texts = texts.join(F.broadcast(missing), "digest", "left_semi") if few else texts
-    contents = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    contents = contents if few else contents.join(missing, "digest", "left_semi")
-    table.append(contents.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens bigint"))
+    # copies are merged before the exchange
+    once = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
+    if special.count() <= BROADCAST_KEYS:  # contents that occur once are encoded where they are read
+        alone = texts.join(F.broadcast(special.select("digest")), "digest", "left_anti")
+        copied = once(texts.join(F.broadcast(special.filter("missing").select("digest")), "digest", "left_semi"))
+        contents = [alone, copied]
+    elif missing.count() <= BROADCAST_KEYS:
+        contents = [once(texts.join(F.broadcast(missing.select("digest")), "digest", "left_semi"))]
+    else:
+        contents = [once(texts).join(missing, "digest", "left_semi").select("digest", "text")]
+    encoded = [c.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens bigint") for c in contents]
+    table.append(encoded[0] if len(encoded) == 1 else encoded[0].unionByName(encoded[1]))
     # an append that was repeated after a failure may have left a digest twice; grouping a bucketed table moves nothing
     known = table.rows().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = ws.save(sizes.join(known.hint("merge"), "digest"), "counts")

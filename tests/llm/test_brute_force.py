@@ -12,14 +12,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from corpusloom.llm import decontam, exact_dedup, license_scan, licence_templates, minhash, registry, secrets, toxicity, url_filter, workspace
+from corpusloom.llm import decontam, exact_dedup, license_scan, licence_templates, minhash, registry, secrets, token_counts, toxicity, url_filter, workspace
 from corpusloom.llm.workspace import Workspace
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, rows int"
@@ -337,6 +339,24 @@ def test_url_edges(spark, ws):
     assert ruled == {None: ("a.org/x", "block")}
 
 
+# --- token counts
+
+
+@pytest.mark.parametrize("bound", [500_000, 3, 0])
+def test_every_way_of_counting_gives_the_library_counts(spark, ws, monkeypatch, bound):
+    monkeypatch.setattr(token_counts, "BROADCAST_KEYS", bound)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(1, "one two"), (2, "one two"), (2, "one two"), (None, "one two"), (3, None), (4, ""), (5, "apart"), (6, "é x"), (7, "long " * 20_000)]
+    cache = token_counts.CountCache(spark, f"w_{ws.path[-12:]}", f"{ws.path}/cache", 4)
+    for run, batch in enumerate((rows[:5], rows, rows)):
+        got = token_counts.count_tokens(docs_of(spark, batch), cache, Workspace(spark, f"w{run}"), path).collect()
+        want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in batch]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert next(iter(cache.tables.values())).rows().count() == 5
+    cache.close()
+
+
 # --- rows and hot keys
 
 
