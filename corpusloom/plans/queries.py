@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return io.read_table(spark, sf, name)
 
 
 # --- SQL fragments -----------------------------------------------------------------------------------------------

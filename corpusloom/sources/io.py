@@ -11,6 +11,28 @@ from pyspark.sql import functions as F
 SPANS = "doc_id string, page int, seq int, size double, text string, bbox array<double>, error string"
 
 
+#: Tables below this size are read as they lie.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer scan tasks than the session has cores, dealt over all cores; any other as it is.
+
+    A file of one row group is one task whatever its size, and expressions over texts cost far more than moving a small table. A
+    table that fills the cores is never moved.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size < SPREAD_BYTES or df._jdf.javaRDD().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` below ``folder``, over all cores."""
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pdf", limit: int | None = None) -> DataFrame:
     """Files below a folder by name, with their bytes (IO4)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).orderBy("path")
