@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, exact_dedup, license_scan, minhash, packing, secrets, token_counts, toxicity, url_filter, warc_zstd
 from corpusloom.llm.workspace import Workspace, bounded_batches, table_buckets
+from corpusloom.sources import io
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return io.read_table(spark, sf_dir, name)
 
 
 #: Host, path and verdict of the rules that go before the model.
