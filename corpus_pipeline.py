@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, exact_dedup, minhash, packing, toxicity
 from corpusloom.llm.workspace import Workspace, keep_rows, row_key
+from corpusloom.sources import io
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +88,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written as Parquet and read again."""
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = io.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = ws.save(stage(spark, docs, sf_dir), name)
     return docs
