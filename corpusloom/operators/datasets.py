@@ -114,7 +114,7 @@ def preference_pairs(qa: DataFrame, corrupt, num: int = 2, mode: str = "referenc
     ``corrupt(text, seed)`` is the number-changing expression. In ``reference`` mode rotated steps count as unchanged.
     """
     asked = qa.filter(F.coalesce("question", F.lit("")) != "").withColumn("chosen", grounded(F.coalesce("answer", F.lit(""))))
-    kinds = F.explode(F.slice(F.array_sort(F.transform(F.array(*map(F.lit, ("numbers", "citations", "steps"))), lambda k: F.struct(F.xxhash64(F.col("qid"), k).alias("h"), k.alias("kind")))), 1, num))
+    kinds = F.explode(F.slice(F.array_sort(F.transform(F.array(*map(F.lit, ("numbers", "citations", "steps"))), lambda k: F.struct(F.md5(F.concat(F.col("qid").cast("string"), F.lit(":"), k)).alias("h"), k.alias("kind")))), 1, num))
     each = asked.select("qid", "question", "chosen", kinds.alias("k")).select("qid", "question", "chosen", "k.kind")
     turned = rotate_steps(F.col("chosen")) if mode == "intended" else F.col("chosen")
     bare = T.strip_citations(F.col("chosen"))

@@ -64,6 +64,12 @@ def shingle_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return keyed.groupBy("shingle_hash").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("group_size"))
 
 
+def dedup_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 8) -> DataFrame:
+    """The whole records that ``shingle_dedup`` names: the first per shingle hash (DD1). Records meet ids, and move only where ids are many."""
+    first = shingle_dedup(docs, id_col, text_col, k).select(id_col)
+    return docs.join(first, id_col, "left_semi")
+
+
 def corpus_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: int = 10, high: int = 500) -> DataFrame:
     """Cleaned lines of ``low`` to ``high`` characters (IO12, FL5)."""
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))

@@ -241,6 +241,18 @@ _LINES = r"""SELECT doc_id, line_no, line FROM (SELECT doc_id, line_no, regexp_r
     FROM (SELECT doc_id, unnest(range(len(p))) AS line_no, unnest(p) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))) WHERE length(line) BETWEEN 10 AND 500"""
 
 
+@query(f"WITH {_SHINGLE} SELECT doc_id, text FROM (SELECT doc_id, row_number() OVER (PARTITION BY shingle_hash ORDER BY doc_id) AS n FROM hashed) JOIN documents USING (doc_id) WHERE n = 1")
+def dedup_records(spark, sf):
+    """DD1 with whole records."""
+    return quality.dedup_records(_read(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\b\d+(?:\.\d+)?(?:%|x|×)?\b'), ',') AS numbers FROM documents")
+def number_extract(spark, sf):
+    """TX11."""
+    return _read(spark, sf, "documents").select("doc_id", F.array_join(T.numbers(F.col("text")), ",").alias("numbers"))
+
+
 @query(_LINES)
 def corpus_lines(spark, sf):
     """IO12, FL5."""
@@ -872,20 +884,65 @@ def pref_corrupt_numbers(spark, sf):
 
 @query()
 def pref_pairs(spark, sf):
-    """DS10, DS9, Q14."""
+    """DS10, DS9, Q14, with all three kinds of negative; changed numbers are not SQL."""
     return datasets.preference_pairs(_qa(spark, sf), udfs.corrupt_numbers)
 
 
-@query()
+#: Chosen and rejected answers of the two kinds of negative that SQL can make.
+_PAIRS = rf"""{_QA}, chosen AS (SELECT qid, question, CASE WHEN strpos(answer, '[chunk_') = 0 THEN answer || chr(10) || 'Cited: [chunk_1]' ELSE answer END AS chosen FROM qa),
+    kinds AS (SELECT qid, unnest(list_transform(list_sort([{{'h': md5(qid || ':numbers'), 'k': 'numbers'}}, {{'h': md5(qid || ':citations'), 'k': 'citations'}}, {{'h': md5(qid || ':steps'), 'k': 'steps'}}])[1:2], lambda x: x.k)) AS kind FROM chosen),
+    parted AS (SELECT *, regexp_extract_all(chosen, '\d+[\.、]\s*[^\n]+') AS f, string_split_regex(chosen, '\d+[\.、]\s*[^\n]+') AS g, regexp_replace(chosen, '\[chunk_[^\]]+\]', '', 'g') AS bare FROM chosen),
+    pairs AS (SELECT qid, kind, question, chosen, CASE WHEN kind = 'steps' AND len(f) >= 3 AND turned != chosen THEN turned ELSE bare END AS rejected FROM (SELECT *,
+        array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(list_append(f[2:], f[1])[i], '')), '') AS turned FROM parted) JOIN kinds USING (qid) WHERE kind != 'numbers')"""
+
+
+def _pairs(spark, sf) -> DataFrame:
+    return datasets.preference_pairs(_qa(spark, sf), udfs.corrupt_numbers, mode="intended").filter("kind != 'numbers'")
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM pairs")
+def pref_text_pairs(spark, sf):
+    """DS7-DS10, TX12."""
+    return _pairs(spark, sf)
+
+
+_SOLID = """shown AS (SELECT doc_id, sec_pos, parent_pos, title, CASE WHEN parent_pos IS NULL THEN '' ELSE '  ' END || '### ' || title || chr(10) || text AS part, length(regexp_replace(text, '\\s', '', 'g')) > 0 AS solid FROM secs)"""
+
+
+def _turn(role: str, body: str) -> str:
+    return f"'<|im_start|>{role}' || chr(10) || {body} || '<|im_end|>' || chr(10)"
+
+
+@query(
+    f"""WITH {_PAIRS}, {_SECTIONS}, {_SOLID}, contexts AS (SELECT doc_id AS qid, left(string_agg(part, chr(10) || chr(10) ORDER BY sec_pos) FILTER (solid), 2000) AS context FROM shown GROUP BY 1)
+    SELECT qid, {_turn("user", "'Text:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || question")} || '<|im_start|>assistant' || chr(10) AS prompt,
+    {_turn("system", f"'{datasets.SYSTEM}'")} || {_turn("user", "question")} || {_turn("assistant", "chosen")} AS chosen,
+    {_turn("system", f"'{datasets.SYSTEM}'")} || {_turn("user", "question")} || {_turn("assistant", "rejected")} AS rejected FROM pairs LEFT JOIN contexts USING (qid)"""
+)
 def pref_messages(spark, sf):
     """DS11, TK5."""
     contexts = datasets.focused_context(structure.sections(_blocks(spark, sf))).select(F.col("doc_id").alias("qid"), "context")
-    pairs = datasets.preference_pairs(_qa(spark, sf), udfs.corrupt_numbers, mode="intended")
-    rows = datasets.preference_messages(pairs.join(contexts, "qid", "left"), F.coalesce("context", F.lit("")))
+    rows = datasets.preference_messages(_pairs(spark, sf).join(contexts, "qid", "left"), F.coalesce("context", F.lit("")))
     return rows.select("qid", *(datasets.render_chat(F.col(c), prompt=c == "prompt").alias(c) for c in ("prompt", "chosen", "rejected")))
 
 
-@query()
+_KEPT = """tops AS (SELECT *, last_value(CASE WHEN parent_pos IS NULL THEN sec_pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM secs),
+    counts AS (SELECT doc_id, top, count(*) FILTER (length(regexp_replace(text, '\\s', '', 'g')) > 0) AS k FROM tops GROUP BY 1, 2),
+    earlier AS (SELECT doc_id, top, coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY top ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counts),
+    kept AS (SELECT t.doc_id, t.title, left(CASE WHEN parent_pos IS NULL THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE text END, 3000) AS text, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.sec_pos) AS no
+        FROM tops t JOIN earlier e ON e.doc_id = t.doc_id AND e.top = t.top WHERE before < 8 AND length(regexp_replace(text, '\\s', '', 'g')) > 0)"""
+
+
+@query(
+    f"""WITH {_SECTIONS}, {_KEPT}, {_SOLID},
+    qa AS (SELECT doc_id, no, title AS focus, 'Summarise the section: ' || title AS question, '1. The section is about: ' || title || chr(10) || '2. It says: ' || array_to_string({_sentences("text")}[1:2], ' ')
+        || chr(10) || '3. The conclusion follows from the context.' || chr(10) || 'Cited: [chunk_' || no || ']' AS answer FROM kept WHERE no <= 3),
+    own AS (SELECT s.*, focus, strpos(title, focus) > 0 AS own FROM shown s JOIN (SELECT DISTINCT doc_id, focus FROM qa) USING (doc_id)),
+    hit AS (SELECT o.*, o.own OR EXISTS (SELECT 1 FROM own c WHERE c.doc_id = o.doc_id AND c.focus = o.focus AND c.parent_pos = o.sec_pos AND c.own) AS hit FROM own o),
+    seen AS (SELECT h.*, h.hit AND coalesce(u.hit, true) AS visible FROM hit h LEFT JOIN hit u ON u.doc_id = h.doc_id AND u.focus = h.focus AND u.sec_pos = h.parent_pos),
+    contexts AS (SELECT doc_id, focus, left(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY sec_pos) FILTER (solid AND visible), string_agg(part, chr(10) || chr(10) ORDER BY sec_pos) FILTER (solid), ''), 2000) AS context FROM seen GROUP BY 1, 2)
+    SELECT doc_id, no, {_turn("system", f"'{datasets.SYSTEM}'")} || {_turn("user", "'Text:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question")} || {_turn("assistant", "answer")} AS rendered FROM qa JOIN contexts USING (doc_id, focus)"""
+)
 def sft_messages(spark, sf):
     """DS1, DS3, DS4, DS5, LY8."""
     secs = structure.sections(_blocks(spark, sf))

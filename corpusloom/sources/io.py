@@ -62,6 +62,44 @@ def parse_files(files: DataFrame, parse: Callable[[bytes], Iterator[tuple]]) ->
     return files.select("path", "content").mapInPandas(run, SPANS)
 
 
+def parse_pages(files: DataFrame, pages: Callable[[bytes], Iterator[tuple[int, Callable[[], Iterator[tuple]]]]]) -> DataFrame:
+    """As ``parse_files`` for a parser that gives ``(page, read)``, where ``read()`` gives ``(seq, size, text, bbox)``.
+
+    A page that fails gives one row with its error and costs no other page (IO5).
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    for page, read in pages(content):
+                        try:
+                            rows += [(path, page, *span, None) for span in list(read())]
+                        except Exception as e:
+                            rows.append((path, page, None, None, None, None, str(e)))
+                except Exception as e:
+                    rows.append((path, None, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "seq", "size", "text", "bbox", "error"]).astype(object)
+
+    return files.select("path", "content").mapInPandas(run, SPANS)
+
+
+def write_texts(texts: DataFrame, path: str, name_col: str, text_col: str = "text", mode: str = "errorifexists") -> None:
+    """One text file per row, in a folder of the row's name (IO6)."""
+    named = texts.select(F.replace(F.col(name_col).cast("string"), F.lit("/"), F.lit("_")).alias("name"), F.col(text_col).alias("value"))
+    named.repartition("name").write.mode(mode).partitionBy("name").option("lineSep", "\n").text(path)
+
+
+def write_report(report: dict, path: str) -> None:
+    """A report of a few figures as one JSON file (IO17)."""
+    import json
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(report, ensure_ascii=False, indent=2), encoding="utf-8")
+
+
 def load_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, title, text)`` of text files; the title is the first line without its prefix (IO8)."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
@@ -83,13 +121,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class VectorTable:
-    """A Parquet table of chunks with vectors; created when first written, appended to later (IO13-IO15)."""
+    """A Parquet table of chunks with vectors; created when first written, appended to later (IO13-IO15).
 
-    def __init__(self, spark: SparkSession, path: str, text_chars: int = 16_000):
-        self.spark, self.path, self.text_chars = spark, path, text_chars
+    Rows that are added must have the table's columns and types, and vectors of ``dim`` entries where it is given.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, text_chars: int = 16_000, dim: int | None = None, vector: str = "embedding"):
+        self.spark, self.path, self.text_chars, self.dim, self.vector = spark, path, text_chars, dim, vector
+
+    def exists(self) -> bool:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
     def add(self, chunks: DataFrame) -> None:
         capped = chunks.withColumn("text", F.substring("text", 1, self.text_chars)) if "text" in chunks.columns else chunks
+        if self.exists():
+            old, new = ({f.name: f.dataType for f in df.schema} for df in (self.rows(), capped))
+            if old != new:
+                raise ValueError(f"the table has {sorted(old)}, the rows have {sorted(new)}, or types differ")
+        if self.dim is not None and self.vector in capped.columns:
+            wrong = F.raise_error(F.lit(f"a vector has not {self.dim} entries"))
+            capped = capped.withColumn(self.vector, F.when(F.size(self.vector) == self.dim, F.col(self.vector)).otherwise(wrong))
         capped.write.mode("append").parquet(self.path)
 
     def rows(self) -> DataFrame:
@@ -97,6 +149,4 @@ class VectorTable:
 
     def count(self) -> int:
         """Number of rows, 0 where nothing was written yet."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.rows().count() if fs.exists(hadoop) else 0
+        return self.rows().count() if self.exists() else 0

@@ -238,3 +238,54 @@ def test_small_functions(spark, tmp_path):
     vocab.write_tokens(tokens, f"{tmp_path}/tokens")
     assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/tokens").collect()) == ["a", "b"]
     assert config.load("a: {b: 1}", {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
+
+
+def test_failing_pages_cost_only_themselves(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"1,x,3")
+    (tmp_path / "b.pdf").write_bytes(b"?")
+
+    def pages(content):
+        for no, part in enumerate(content.decode().split(",")):
+            yield no, lambda part=part: [(0, 12.0, str(int(part)), [0.0])]
+
+    rows = [(r["doc_id"][-5:], r["page"], r["text"], r["error"] is None) for r in io.parse_pages(io.scan_files(spark, str(tmp_path)), pages).collect()]
+    assert sorted(rows, key=str) == sorted([("a.pdf", 0, "1", True), ("a.pdf", 1, None, False), ("a.pdf", 2, "3", True), ("b.pdf", 0, None, False)], key=str)
+
+
+def test_files_per_text_reports_and_table_checks(spark, tmp_path):
+    import pytest
+
+    io.write_texts(spark.createDataFrame([("a/b", "x\ny"), ("c", "z")], "doc_id string, text string"), f"{tmp_path}/texts", "doc_id")
+    assert {r["name"]: r["value"] for r in spark.read.option("wholetext", True).text(f"{tmp_path}/texts").collect()} == {"a_b": "x\ny\n", "c": "z\n"}
+    io.write_report({"recall": {"hybrid": 1.0}}, f"{tmp_path}/r/report.json")
+    assert json.loads((tmp_path / "r" / "report.json").read_text()) == {"recall": {"hybrid": 1.0}}
+    table = io.VectorTable(spark, f"{tmp_path}/v", dim=2)
+    table.add(spark.createDataFrame([(1, [0.5, 1.0])], "i int, embedding array<double>"))
+    with pytest.raises(ValueError):
+        table.add(spark.createDataFrame([("1", [0.5, 1.0])], "i string, embedding array<double>"))
+    with pytest.raises(Exception, match="2 entries"):
+        table.add(spark.createDataFrame([(2, [0.5])], "i int, embedding array<double>"))
+    assert table.count() == 1
+    assert retrieval.SparseIndex.load(spark, f"{tmp_path}/nothing") is None
+
+
+def test_service(spark):
+    from corpusloom.plans.queries import letter_encoder
+    from corpusloom.plans.service import Service
+
+    texts = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta epsilon"), (3, "zeta eta theta")], "doc_id long, text string")
+    service = Service(spark, texts, retrieval.build_sparse(texts), retrieval.encode(texts, letter_encoder), letter_encoder)
+    assert service.health() == {"status": "ok", "documents": 3}
+    rows = service.retrieve(["delta", "theta zeta"], top_k=1).orderBy("qid").collect()
+    assert [(r["qid"], r["doc_id"]) for r in rows] == [(0, 2), (1, 3)] and rows[0]["sources"] == ["dense", "sparse", "rerank"]
+    assert service.retrieve(["delta"], 1, "sparse").first()["sources"] == ["sparse"]
+    chats = spark.createDataFrame([(7, 0, "user", "hello"), (7, 1, "assistant", "yes"), (7, 2, "user", "delta")], "conv_id long, turn long, role string, text string")
+    answer = json.loads(json.loads(service.complete(chats).first()["response"])["choices"][0]["message"]["content"])
+    assert answer["citations"][0]["chunk_id"] == "2" and answer["is_grounded"]
+
+
+def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
+    spark.range(100_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("t")).coalesce(1).write.parquet(f"{tmp_path}/big.parquet")
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/small.parquet")
+    big, small = io.read_table(spark, str(tmp_path), "big"), io.read_table(spark, str(tmp_path), "small")
+    assert big.rdd.getNumPartitions() == 4 and big.count() == 100_000 and small.rdd.getNumPartitions() == 1
