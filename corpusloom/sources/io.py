@@ -102,7 +102,7 @@ def write_report(report: dict, path: str) -> None:
 
 def load_extracted(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, title, text)`` of text files; the title is the first line without its prefix (IO8)."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_extract("value", r"^(?:# TITLE: )?([^\n]*)", 1).alias("title"), F.col("value").alias("text"))
 
 

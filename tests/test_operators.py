@@ -198,7 +198,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# TITLE: T\nbody\n", encoding="utf-8")
     (tmp_path / "b.pdf").write_bytes(b"2")
     (tmp_path / "c.pdf").write_bytes(b"x")
-    assert io.load_extracted(spark, str(tmp_path)).first()["title"] == "T"
+    assert [(r["title"], r["text"]) for r in io.load_extracted(spark, str(tmp_path)).collect()] == [("T", "# TITLE: T\nbody\n")]
     assert io.read_lines(spark, str(tmp_path)).count() == 2
     spans = io.parse_files(io.scan_files(spark, str(tmp_path)), lambda content: [(0, 0, 12.0, str(int(content)), [0.0])])
     assert {(r["doc_id"][-5:], r["text"], r["error"] is None) for r in spans.collect()} == {("b.pdf", "2", True), ("c.pdf", None, False)}
@@ -256,7 +256,7 @@ def test_files_per_text_reports_and_table_checks(spark, tmp_path):
     import pytest
 
     io.write_texts(spark.createDataFrame([("a/b", "x\ny"), ("c", "z")], "doc_id string, text string"), f"{tmp_path}/texts", "doc_id")
-    assert {r["name"]: r["value"] for r in spark.read.option("wholetext", True).text(f"{tmp_path}/texts").collect()} == {"a_b": "x\ny\n", "c": "z\n"}
+    assert {r["name"]: r["value"] for r in spark.read.text(f"{tmp_path}/texts", wholetext=True).collect()} == {"a_b": "x\ny\n", "c": "z\n"}
     io.write_report({"recall": {"hybrid": 1.0}}, f"{tmp_path}/r/report.json")
     assert json.loads((tmp_path / "r" / "report.json").read_text()) == {"recall": {"hybrid": 1.0}}
     table = io.VectorTable(spark, f"{tmp_path}/v", dim=2)
