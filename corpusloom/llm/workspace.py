@@ -8,13 +8,13 @@ nothing else.
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.scratch import delete, shared_dir
+
 #: Rows per Python batch and per batch of the Parquet reader, where the session has Spark's own defaults: texts can be
 #: very long, and a batch is held whole.
 BATCH_ROWS = {
@@ -23,17 +23,6 @@ BATCH_ROWS = {
 }
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only a local master may go without one."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'corpusloom-shared')}"
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller batches for the session, where it has Spark's defaults."""
     for key, (default, rows) in BATCH_ROWS.items():
@@ -42,25 +31,16 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 class Workspace:
-    """A folder of Parquet tables below the shared folder, deleted when the driver ends."""
+    """A folder of Parquet tables below the shared folder, deleted by ``close`` or when the driver ends.
+
+    Opening one also makes the session's batches smaller (see ``BATCH_ROWS``) where they are Spark's defaults.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex[:12]}"
         bounded_batches(spark)
-        atexit.register(self._delete, self.path)
-
-    def _hadoop(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def _delete(self, path: str) -> None:
-        try:
-            fs, target = self._hadoop(path)
-            fs.delete(target, True)
-        except Exception:  # the session may be gone; the folder is scratch
-            return
+        atexit.register(delete, spark, self.path)
 
     def save(self, df: DataFrame, name: str, mode: str = "error") -> DataFrame:
         """Write ``df`` and give it back as a scan of the written files."""
@@ -70,13 +50,17 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later plan reads."""
-        self._delete(f"{self.path}/{name}")
+        delete(self.spark, f"{self.path}/{name}")
 
     def mkdirs(self, name: str) -> str:
-        fs, target = self._hadoop(f"{self.path}/{name}")
-        fs.mkdirs(target)
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
         return f"{self.path}/{name}"
 
+    def close(self) -> None:
+        """Delete all tables, once no plan reads them."""
+        delete(self.spark, self.path)
+
 
 #: Keys with more rows than this are dealt over several tasks; at most HOT_KEYS keys can have more than their fair share.
 FAIR_ROWS, HOT_KEYS = 10_000, 50_000
