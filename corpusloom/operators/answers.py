@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json as json_library
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +14,29 @@ SCHEMA = "answer string, reasoning string, citations array<struct<chunk_id:strin
 REQUIRED = ("answer", "reasoning", "citations", "confidence", "is_grounded")
 
 
-def missing_keys(json: Column) -> Column:
+def schema_of(text: str) -> tuple[str, tuple[str, ...]]:
+    """The columns and the required keys that a JSON schema names (JS3)."""
+    names = {"string": "string", "number": "double", "integer": "bigint", "boolean": "boolean"}
+
+    def kind(node: dict) -> str:
+        if node.get("type") == "array":
+            return f"array<{kind(node.get('items', {'type': 'string'}))}>"
+        if node.get("type") == "object":
+            return "struct<" + ",".join(f"`{k}`:{kind(v)}" for k, v in node.get("properties", {}).items()) + ">"
+        return names.get(node.get("type", "string"), "string")
+
+    schema = json_library.loads(text)
+    return ", ".join(f"`{k}` {kind(v)}" for k, v in schema["properties"].items()), tuple(schema.get("required", ()))
+
+
+def missing_keys(json: Column, required: tuple[str, ...] = REQUIRED) -> Column:
     """Required keys that an object lacks, sorted; all of them where it does not parse (JS2)."""
-    need = F.array(*map(F.lit, REQUIRED))
+    need = F.array(*map(F.lit, required))
     return F.array_sort(F.array_except(need, F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))))
 
 
-def extra_keys(json: Column) -> Column:
-    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, REQUIRED))))
+def extra_keys(json: Column, known: tuple[str, ...] = REQUIRED) -> Column:
+    return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, known))))
 
 
 def is_valid(json: Column, full: bool = True) -> Column:
@@ -29,7 +46,7 @@ def is_valid(json: Column, full: bool = True) -> Column:
         return ok
     parsed = F.from_json(json, SCHEMA)
     cited = F.coalesce(F.forall(parsed["citations"], lambda c: c["chunk_id"].isNotNull()), F.lit(False))
-    typed = F.coalesce(*(parsed[k].isNotNull() for k in REQUIRED[:1]), F.lit(False)) & parsed["confidence"].isNotNull() & parsed["is_grounded"].isNotNull() & parsed["reasoning"].isNotNull()
+    typed = F.forall(F.array(*(parsed[k].isNotNull() for k in REQUIRED)), lambda present: present)
     return F.coalesce(ok & (F.size(extra_keys(json)) == 0) & cited & typed, F.lit(False))
 
 

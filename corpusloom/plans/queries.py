@@ -325,6 +325,18 @@ def dense_dot_topk(spark, sf):
     return _search(spark, sf, "dot")
 
 
+@query(_vector_sql(_QE))
+def dense_appended(spark, sf):
+    """DE2, DE5, IO13-IO15: the vectors are put into a table in two parts, and the table is searched."""
+    vectors = _read(spark, sf, "embeddings")
+    table = io.VectorTable(spark, scratch.folder(spark, "vectors"), dim=retrieval.dimension(vectors))
+    for odd in (0, 1):
+        table.add(_vectors(vectors).filter(F.col("doc_id") % 2 == odd))
+    rows = table.rows()
+    found = retrieval.search_dense(rows.filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "qid"), rows, skip_self=True)
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(_vector_sql(f"{_QE} / sqrt({_EE} * {_QQ})"))
 def dense_cosine_topk(spark, sf):
     """DE3."""

@@ -289,3 +289,10 @@ def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/small.parquet")
     big, small = io.read_table(spark, str(tmp_path), "big"), io.read_table(spark, str(tmp_path), "small")
     assert big.rdd.getNumPartitions() == 4 and big.count() == 100_000 and small.rdd.getNumPartitions() == 1
+
+
+def test_schema_of_a_file(spark):
+    schema = {"required": ["answer", "n"], "properties": {"answer": {"type": "string"}, "n": {"type": "integer"}, "c": {"type": "array", "items": {"type": "object", "properties": {"id": {"type": "string"}}}}}}
+    columns, required = answers.schema_of(json.dumps(schema))
+    row = spark.createDataFrame([('{"answer": "a", "n": 2, "c": [{"id": "x"}]}',)], "j string").select(F.from_json("j", columns).alias("o"), answers.missing_keys(F.lit('{"n": 1}'), required).alias("m")).first()
+    assert (row["o"]["n"], row["o"]["c"][0]["id"], row["m"]) == (2, "x", ["answer"])
