@@ -145,36 +145,40 @@ def assistant_spans(text: Column) -> Column:
     A span goes from a start marker and the line break behind it to the next end marker, whatever lies between; the search
     goes on behind that, and stops for good at a span without an end.
     """
-    find = lambda marker, at: F.position(F.lit(marker), text, at + 1) - 1
     kind = "array<struct<start:int,end:int>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-    # one step per start marker; a step behind the last span finds nothing and changes nothing
-    steps = F.greatest(F.size(F.split(text, r"\Q" + START + ROLE + r"\E", -1)) - 1, F.lit(0))
 
-    def step(acc: Column, _: Column) -> Column:
-        start = find(START + ROLE, F.greatest(acc["at"], F.lit(0)))
-        body = start + len(START + ROLE)
-        body = body + F.when(F.substr(text, body + 1, F.lit(1)) == "\n", 1).otherwise(0)
-        stop = find(END, body)
-        span = F.struct(body.cast("int").alias("start"), stop.cast("int").alias("end"))
-        found = (acc["at"] >= 0) & (start >= 0) & (stop >= 0)
-        return F.struct(
-            F.when(found, stop + len(END)).otherwise(F.lit(-1)).cast("int").alias("at"),
-            F.when(found, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+    def walk(whole: Column) -> Column:
+        find = lambda marker, at: F.position(F.lit(marker), whole, at + 1) - 1
+        # one step per start marker; a step behind the last span finds nothing and changes nothing
+        steps = F.size(F.split(whole, r"\Q" + START + ROLE + r"\E", -1)) - 1
 
-    walked = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), zero, step, lambda acc: acc["spans"])
-    return walked
+        def step(acc: Column, _: Column) -> Column:
+            start = find(START + ROLE, F.greatest(acc["at"], F.lit(0)))
+            body = start + len(START + ROLE)
+            body = body + F.when(F.substr(whole, body + 1, F.lit(1)) == "\n", 1).otherwise(0)
+            stop = find(END, body)
+            span = F.struct(body.cast("int").alias("start"), stop.cast("int").alias("end"))
+            found = (acc["at"] >= 0) & (start >= 0) & (stop >= 0)
+            return F.struct(
+                F.when(found, stop + len(END)).otherwise(F.lit(-1)).cast("int").alias("at"),
+                F.when(found, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
+            )
+
+        turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+
+    return T.once(text, walk)
 
 
 def label_mask(ids: Column, offsets: Column, spans: Column) -> Column:
     """Ids whose midpoint lies in a span, ends included; others, and empty offsets, are ``IGNORED`` (TK3)."""
-    def keep(i: Column, o: Column) -> Column:
+    def keep(i: Column, o: Column, bound: Column) -> Column:
         mid = (o["start"] + o["end"]) / 2
-        inside = F.exists(spans, lambda s: (s["start"] <= mid) & (mid <= s["end"]))
+        inside = F.exists(bound, lambda s: (s["start"] <= mid) & (mid <= s["end"]))
         return F.when(inside & ~((o["start"] == 0) & (o["end"] == 0)), i).otherwise(F.lit(IGNORED))
 
-    return F.zip_with(ids, offsets, keep)
+    return T.once(spans, lambda bound: F.zip_with(ids, offsets, lambda i, o: keep(i, o, bound)))
 
 
 def truncate(c: Column, n: int = 2048) -> Column:

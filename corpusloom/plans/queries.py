@@ -837,7 +837,8 @@ def assistant_spans(spark, sf):
 
 def _offsets(text: Column) -> Column:
     """Offsets of ten characters each, standing in for a tokenizer's."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 10).cast("int")), lambda i: F.struct((i * 10).alias("start"), F.least(i * 10 + 10, F.length(text)).alias("end")))
+    spots = lambda n: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 10).cast("int")), lambda i: F.struct((i * 10).alias("start"), F.least(i * 10 + 10, n).alias("end")))
+    return T.once(F.length(text), spots)
 
 
 def _masked(spark, sf) -> DataFrame:
