@@ -36,8 +36,8 @@ from corpusloom.llm.workspace import Workspace, salted_lookup
 WORDS, ROWS, MISS, SEED = 5, 4, 1e-7, 9
 #: A block holds about this many queries and members, or fewer where their sets would pass BLOCK_SHINGLES.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
-#: Candidate ids up to this number (16 bytes each) are broadcast to the documents; beyond it they are joined.
-BROADCAST_IDS = 2_000_000
+#: Candidate ids up to this number (at most about 100 bytes each) are broadcast to the documents; beyond it they are joined.
+BROADCAST_IDS = 1_000_000
 
 
 def band_count(percent: int) -> int:
