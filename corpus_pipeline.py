@@ -46,15 +46,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a similarity of 0.8 on five-word shingles keep one row, that of the smallest id.
 
-    A null id is larger than any other here; rows of equal id go by the text's digest, repeated rows as in the exact stage. Null, empty and blank
+    A null id is larger than any other here; rows of equal id go by a digest of id and text, repeated rows as in the exact stage. Null, empty and blank
     texts are linked with nothing and stay (repeated rows of them once).
     """
     ws = Workspace(spark, "near")
-    digest = lambda df: exact_dedup.text_digest(df["text"])
-    order = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), digest(docs).alias("digest"))
+    key = row_key(docs["doc_id"], exact_dedup.text_digest(docs["text"]))
+    order = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), key.alias("key"))
     groups = minhash.near_duplicates(docs.select(order.alias("row"), docs["text"].alias("text")), ws, percent=80, id_col="row")
-    decided = groups.select(row_key(F.col("row.id"), F.col("row.digest")).alias("key"), "kept")
-    return keep_rows(docs, row_key(docs["doc_id"], digest(docs)), decided, ws)
+    return keep_rows(docs, key, groups.select("row.key", "kept"), ws)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
