@@ -9,7 +9,7 @@ tokens is hit: ``SHORT_MASK`` helps where an item has 8 to 10 of them, and a tes
 Items of MIN_TOKENS to 7 tokens must occur word for word; their mask keeps all of their tokens.
 
 What is broadcast are rows of three numbers per window of an item and mask, whatever an item's length, in blocks of about
-``BLOCK_SEEDS``; a block that one frequent window makes much larger is joined and not broadcast. Documents are read once, or, where there
+``BLOCK_SEEDS``; a block that one frequent window makes much larger is cut further. Documents are read once, or, where there
 are several blocks, tokenised once and written. Hits are merged to distinct diagonals per task before they move, and only then meet
 the tokens of the documents that have any, which are read again by their keys; the keys are broadcast up to a number.
 
@@ -81,9 +81,8 @@ def _item_seeds(items: DataFrame, masks: list, blocks: int) -> DataFrame:
     return out.withColumn("block", F.pmod("anchor", F.lit(blocks)).cast("int"))
 
 
-def _block_hits(read: DataFrame, seeds: DataFrame, masks: list, broadcast: bool) -> DataFrame:
+def _block_hits(read: DataFrame, seeds: DataFrame, masks: list) -> DataFrame:
     """``(key, item_no, diagonal)`` of one block, repeated as often as masks hit."""
-    near = F.broadcast if broadcast else (lambda df: df)
     spans = sorted({mask[-1] + 1 for mask, *_ in masks})
     tokens, n = F.col("tokens"), F.size("tokens")
     # one run of positions per span; what reaches over the end has nulls and cannot be verified later
@@ -91,7 +90,7 @@ def _block_hits(read: DataFrame, seeds: DataFrame, masks: list, broadcast: bool)
     runs = [run(s) for s in spans]
     probes = read.select("key", "tokens", F.posexplode(F.concat(*runs) if len(runs) > 1 else runs[0]).alias("pos", "anchor"))
     # most windows end here; the masks' hashes are computed for the others
-    probes = probes.join(near(seeds.select("anchor").distinct()), "anchor", "left_semi")
+    probes = probes.join(F.broadcast(seeds.select("anchor").distinct()), "anchor", "left_semi")
     at = F.col("pos") % n if len(spans) > 1 else F.col("pos")
     probes = probes.withColumn("at", at.cast("int"))
     made = [(mask, _seed(tokens, F.col("at"), mask)) for mask, *_ in masks]
@@ -102,7 +101,7 @@ def _block_hits(read: DataFrame, seeds: DataFrame, masks: list, broadcast: bool)
     else:
         seed = F.array(*(seed for _, seed in made))
     probes = probes.select("key", "at", F.explode(seed).alias("seed"))
-    hits = probes.join(near(seeds.select("seed", "item_no", "item_at")), "seed")
+    hits = probes.join(F.broadcast(seeds.select("seed", "item_no", "item_at")), "seed")
     return hits.select("key", "item_no", (F.col("at") - F.col("item_at")).alias("diagonal"))
 
 
@@ -145,8 +144,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, ws: Workspace, id_col: str, te
     read = ws.save(read, "tokens") if blocks > 1 else read
     hits = None
     for block, size in sorted(counts.items()):
-        part = _block_hits(read, seeds.filter(F.col("block") == block) if blocks > 1 else seeds, masks, size <= 2 * BLOCK_SEEDS)
-        hits = part if hits is None else hits.unionByName(part)
+        own = seeds.filter(F.col("block") == block) if blocks > 1 else seeds
+        chunks = max(1, math.ceil(size / (2 * BLOCK_SEEDS)))  # a window that very many items share can fill a block alone
+        for chunk in range(chunks):
+            few_seeds = own if chunks == 1 else own.filter(F.pmod(F.xxhash64("item_no", "item_at"), F.lit(chunks)) == chunk)
+            part = _block_hits(read, few_seeds, masks)
+            hits = part if hits is None else hits.unionByName(part)
     hits = ws.save(hits.distinct(), "hits")
     per = hits.groupBy("key", "item_no").agg(F.collect_set("diagonal").alias("diagonals"))  # at most one per token of the document
     found = ws.save(hits.select("key").distinct(), "found")
