@@ -393,17 +393,17 @@ def test_archive_has_its_dictionary():
 
 
 def test_licences_and_inheritance(spark, ws):
-    mit, apache = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["Apache-2.0"]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [
         (1, "a/LICENSE", mit), (2, "a/b/c/x", "text"), (3, "a/b/LICENSE", apache), (4, "a/y", None), (5, "top", ""), (6, None, "text"),
         (7, "a/b/z", "some prose of many words that goes on and on and on and on and on for long\n" + mit), (8, "q/r", "a licence of no kind that we know of"), (2, "a/b/c/x", "text"),
     ]
     files = spark.createDataFrame([(*r, "o", "d") for r in rows], "doc_id long, path string, text string, own string, dir string")
-    got = [(r["doc_id"], r["licence"], r["origin"], r["directory"]) for r in license_scan.resolve(license_scan.own_licences(files), ws).collect()]
+    got = [(r["doc_id"], r["licence"], r["origin"], r["directory"]) for r in license_scan.resolve(license_scan.own_licences(files, ws), ws).collect()]
     assert sorted(got, key=str) == sorted(
         [(1, "MIT", "own", None), (2, "Apache-2.0", "inherited", "a/b"), (2, "Apache-2.0", "inherited", "a/b"), (3, "Apache-2.0", "own", None), (4, "MIT", "inherited", "a"), (5, None, None, None), (6, None, None, None), (7, "MIT", "own", None), (8, None, None, None)], key=str,
     )
-    assert license_scan.resolve(license_scan.own_licences(files.limit(0)), Workspace(spark, "l")).count() == 0
+    assert license_scan.resolve(license_scan.own_licences(files.limit(0), Workspace(spark, "l0")), Workspace(spark, "l")).count() == 0
 
 
 # --- pipeline
