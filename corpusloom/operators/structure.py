@@ -101,16 +101,23 @@ def chunk(secs: DataFrame, size: int = 600, overlap: int = 80, levels: int = LEV
     """A chunk per section that is not blank, followed by its pieces, numbered in preorder (CK1, CK2, CK5, CK6).
 
     Texts are stripped first; a section's own chunk holds its first ``4 * size`` characters. A path names all sections above, blank titles left
-    out at its end only; a parent is the nearest section above that is not blank. Each level is one equi-join of sections by document.
+    out at its end only; a parent is the nearest section above that is not blank. Sections climb a map of their own document's titles,
+    which lie in the same partition as its sections, so no level costs an exchange.
     """
     stripped = secs.withColumn("text", T.strip(F.col("text")))
-    solid = F.length("text") > 0
-    node = stripped.select("doc_id", F.col("sec_pos").alias("up"), F.col("title").alias("up_title"), F.col("parent_pos").alias("up_parent"), solid.alias("up_solid"))
-    full = stripped.filter(solid).withColumn("titles", F.array().cast("array<string>")).withColumn("up", F.col("parent_pos")).withColumn("near", F.lit(None).cast(secs.schema["sec_pos"].dataType))
+    node = F.struct(F.col("parent_pos").alias("parent"), F.coalesce("title", F.lit("")).alias("title"), (F.length("text") > 0).alias("solid"))
+    nodes = stripped.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("sec_pos", node))).alias("nodes"))
+    kind = secs.schema["sec_pos"].dataType
+    full = stripped.filter(F.length("text") > 0).join(nodes, "doc_id")
+    full = full.withColumns({"titles": F.array().cast("array<string>"), "up": F.col("parent_pos"), "near": F.lit(None).cast(kind)})
     for _ in range(levels - 1):
-        full = full.join(node, ["doc_id", "up"], "left")
-        full = full.withColumn("titles", F.when(F.col("up").isNull(), F.col("titles")).otherwise(F.concat(F.array("up_title"), F.col("titles"))))
-        full = full.withColumn("near", F.coalesce("near", F.when(F.col("up_solid"), F.col("up")))).withColumn("up", F.col("up_parent")).drop("up_title", "up_parent", "up_solid")
+        full = full.withColumn("node", F.try_element_at("nodes", F.col("up")))
+        full = full.withColumns({
+            "titles": F.when(F.col("node").isNull(), F.col("titles")).otherwise(F.concat(F.array("node.title"), F.col("titles"))),
+            "near": F.coalesce("near", F.when(F.col("node.solid"), F.col("up"))),
+            "up": F.col("node.parent"),
+        })
+    full = full.drop("nodes", "node", "up")
     path = F.when(F.coalesce("title", F.lit("")) == "", F.array_join("titles", " > ", "")).otherwise(F.array_join(F.concat("titles", F.array("title")), " > ", ""))
     full = full.withColumn("pieces", T.pack_paragraphs(F.col("text"), size, overlap))
     before = Window.partitionBy("doc_id").orderBy("sec_pos").rowsBetween(Window.unboundedPreceding, -1)
