@@ -1,6 +1,9 @@
 """Structure, retrieval, evaluation, sources and streaming on small tables."""
 
 import json
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -152,6 +155,46 @@ def test_sparse_index_round_trip(spark, tmp_path):
     assert sorted(again) == sorted(retrieval.search_sparse(asked, index, 2).collect())
 
 
+def plain_sparse(docs, asked, k, k1=1.5, b=0.75):
+    """Okapi scores of every document in the plainest way."""
+    from corpusloom.functions.text import STOPWORDS
+
+    cut = lambda text: [w for w in re.findall(r"[a-z0-9+#.-]{2,}", (text or "").lower()) if w not in STOPWORDS]
+    words = {i: cut(text) for i, text in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {t: sum(t in w for w in words.values()) for t in {t for w in words.values() for t in w}}
+    raw = {t: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, x in raw.items()}
+    out = []
+    for qid, query in asked:
+        scored = []
+        for i, w in words.items():
+            parts = [idf[t] * w.count(t) * (k1 + 1) / (w.count(t) + k1 * (1 - b + b * len(w) / mean)) for t in cut(query) if t in w]
+            scored.append((-round(sum(parts), 7) + 0.0, i))
+        out += [(qid, i, rank) for rank, (_, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def test_sparse_search_moves_k_documents_of_a_query_and_no_matches(spark, monkeypatch):
+    dice = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, None if i % 40 == 7 else " ".join(dice.choices(words[: 3 if i % 9 == 0 else 60], [60 / (j + 1) for j in range(3 if i % 9 == 0 else 60)], k=dice.randrange(1, 30)))) for i in range(300)]
+    docs += [(300 + i, "w0 w1 w55 common") for i in range(50)]
+    asked = [(i, " ".join(dice.choices(words, k=6)) + " common" * (i % 2)) for i in range(20)] + [(98, "unseen"), (99, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame(asked, "qid long, query string")
+    monkeypatch.setattr(retrieval, "PIECE", 150)  # several pieces in a task, so that later ones meet the best of earlier ones
+    index = retrieval.build_sparse(rows)
+    found = retrieval.search_sparse(queries, index, 4)
+    assert sorted((r["qid"], r["doc_id"], r["rank"]) for r in found.collect()) == plain_sparse(docs, asked, 4)
+    small = retrieval.search_sparse(queries, index, 4, 1.2, 0.6, query_block=3)
+    assert sorted((r["qid"], r["doc_id"], r["rank"]) for r in small.collect()) == plain_sparse(docs, asked, 4, 1.2, 0.6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and not re.search(r"hashpartitioning\(qid#\d+L?, doc_id", plan)
+    built = index.entries._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in built
+
+
 def test_fusion_sums_and_breaks_ties_by_dense_rank(spark):
     ranks = "qid long, doc_id long, rank int"
     fused = retrieval.fuse(spark.createDataFrame([(1, 10, 1), (1, 11, 2)], ranks), spark.createDataFrame([(1, 12, 1), (1, 11, 2)], ranks), 5)
