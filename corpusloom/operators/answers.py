@@ -13,6 +13,9 @@ from corpusloom.functions import text as T
 SCHEMA = "answer string, reasoning string, citations array<struct<chunk_id:string,confidence:double>>, confidence double, is_grounded boolean"
 REQUIRED = ("answer", "reasoning", "citations", "confidence", "is_grounded")
 
+#: Characters of the best text that a template answer shows.
+BEST_CHARS = 180
+
 
 def schema_of(text: str) -> tuple[str, tuple[str, ...]]:
     """The columns and the required keys that a JSON schema names (JS3)."""
@@ -55,12 +58,12 @@ def template_answer(hits: DataFrame, queries: DataFrame | None = None) -> DataFr
 
     With ``queries(qid)`` those without a hit get an answer that says so, without citations and not grounded.
     """
-    rows = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("chunk_id"), F.round("score", 3).alias("confidence"), "text")))
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("chunk_id"), F.round("score", 3).alias("confidence"), F.substring("text", 1, BEST_CHARS).alias("text"))))
     per = hits.groupBy("qid").agg(rows.alias("r"))
     if queries is not None:
         per = queries.select("qid").join(per, "qid", "left")
     top, n = F.get("r", 0), F.coalesce(F.size("r"), F.lit(0))
-    found = F.when(top.isNotNull(), F.concat(F.lit(" passages. Best: "), F.substring(top["text"], 1, 180))).otherwise(F.lit(" passages. Nothing relevant was found."))
+    found = F.when(top.isNotNull(), F.concat(F.lit(" passages. Best: "), top["text"])).otherwise(F.lit(" passages. Nothing relevant was found."))
     cited = F.transform(F.slice("r", 1, 3), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["confidence"].alias("confidence")))
     payload = F.struct(
         F.concat(F.lit("Found "), F.greatest(n, F.lit(0)).cast("string"), found).alias("answer"),

@@ -339,3 +339,16 @@ def test_schema_of_a_file(spark):
     columns, required = answers.schema_of(json.dumps(schema))
     row = spark.createDataFrame([('{"answer": "a", "n": 2, "c": [{"id": "x"}]}',)], "j string").select(F.from_json("j", columns).alias("o"), answers.missing_keys(F.lit('{"n": 1}'), required).alias("m")).first()
     assert (row["o"]["n"], row["o"]["c"][0]["id"], row["m"]) == (2, "x", ["answer"])
+
+
+def test_texts_are_cut_before_they_are_moved(spark):
+    texts = spark.createDataFrame([(i, f"{i} " + "x" * 600) for i in range(3)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "1 x")], "qid long, query string")
+    found = spark.createDataFrame([(7, 1, 1, 0.51234567, ["sparse"]), (7, 2, 2, 0.2, ["sparse"])], "qid long, doc_id long, rank int, score double, sources array<string>")
+    below = lambda df: (plan := df._jdf.queryExecution().executedPlan().toString()).index("Join") < plan.rindex("substring(")
+    shown, again = retrieval.present(found, asked, texts), retrieval.rerank(found, asked, texts, 2)
+    assert below(shown) and below(again)
+    assert [(r["doc_id"], len(r["text"]), r["score"]) for r in shown.orderBy("rank").collect()] == [(1, 500, 0.5123), (2, 500, 0.2)]
+    said = answers.template_answer(found.join(texts, "doc_id"))
+    assert re.search(r"collect_list\([^\n]*substring\(", said._jdf.queryExecution().executedPlan().toString())
+    assert json.loads(said.first()["payload"])["answer"] == "Found 2 passages. Best: 1 " + "x" * 178
