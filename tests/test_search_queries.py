@@ -3,12 +3,14 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from corpusloom.operators import retrieval
 from tests.test_oracles import plain
 
-NAMES = ("rrf_fuse",)
+NAMES = ("rrf_fuse", "mrr_at_10")
 
 
 def moved(spark):
@@ -47,3 +49,20 @@ def test_moves_less_than_the_postings(spark, tables, name):
     relation = duck.sql(entry.oracle_sql()[name])
     places = [relation.columns.index(c) for c in columns]
     assert ours == sorted(tuple(plain(r[i]) for i in places) for r in relation.fetchall())
+
+
+def test_small_batches_are_put_together_and_large_ones_cut():
+    rows = [(i, ["t"] * n) for i, n in enumerate([3, 0, 4, 2, 9, 1, 1, 1, 0, 6])]
+    whole = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "terms": pa.array([t for _, t in rows], pa.list_(pa.string()))})
+    for step in (1, 3, 10):
+        got = list(retrieval._pieces((whole.slice(i, step) for i in range(0, 10, step)), 1, 10))
+        assert [b.column(0).to_pylist() for b in got] == [[0, 1, 2], [3], [4], [5, 6, 7, 8], [9]]
+        assert pa.concat_batches(got).equals(whole)
+    assert list(retrieval._pieces(iter([whole.slice(0, 0)]), 1, 10)) == []
+
+
+def test_batch_rows_come_back(spark):
+    was = spark.conf.get(retrieval.scratch.BATCH)
+    sizes = spark.range(5000).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert {r["n"] for r in retrieval.scratch.written(sizes, "sizes", 100).collect()} == {100}
+    assert spark.conf.get(retrieval.scratch.BATCH) == was
