@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from corpusloom.operators import retrieval
 from tests.test_oracles import plain
 
-NAMES = ("rrf_fuse", "mrr_at_10", "citation_grounding", "citation_prf")
+NAMES = ("rrf_fuse", "mrr_at_10", "citation_grounding", "citation_prf", "recall_at_k")
 
 
 def moved(spark):
